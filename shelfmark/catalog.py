@@ -124,6 +124,11 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
+def _gaps(df: DataFrame, *columns: str) -> DataFrame:
+    """Whole numbers that may be NULL, as doubles: every engine's frame holds those alike."""
+    return df.withColumns({c: F.col(c).cast("double") for c in columns})
+
+
 def _quoted(products_: DataFrame) -> DataFrame:
     """Product names with the comma and inner quote that CSV must escape."""
     return products_.withColumn("product_name", F.concat("product_name", F.lit(', 12"')))
@@ -145,7 +150,9 @@ BUSINESS: dict[str, Question] = {
         t.shop.fact, t.shop.products, best=False
     ),
     "q09_yearly_growth": lambda t: revenue.yearly_growth(t.shop.fact),
-    "q10_signups_by_month": lambda t: customers.signups_by_month(t.shop.customers),
+    "q10_signups_by_month": lambda t: _gaps(
+        customers.signups_by_month(t.shop.customers), "signup_year", "signup_month"
+    ),
     "q11_orders_per_customer": lambda t: customers.orders_per_customer(t.shop.fact),
     "q12_repeat_rate": lambda t: customers.repeat_rate(t.shop.fact),
     "q13_lifetime_revenue": lambda t: customers.lifetime_value(t.shop.fact),
@@ -343,7 +350,7 @@ CLEANING: dict[str, Question] = {
 
 CONSTRUCTION: dict[str, Question] = {
     "dim01_calendar": lambda t: star.calendar_of(t.shop.orders),
-    "fct01_fact_sales": lambda t: t.shop.fact,
+    "fct01_fact_sales": lambda t: _gaps(t.shop.fact, "delivery_time_days"),
     "fct02_date_parts": lambda t: t.shop.orders.select("order_id", "order_date").withColumns(
         star.order_date_parts()
     ),
@@ -375,8 +382,9 @@ CONSTRUCTION: dict[str, Question] = {
 }
 
 FILES: dict[str, Question] = {
-    "src01_csv_scan": lambda t: t.written(
-        t.raw.orders, "orders_csv", schemas.RAW["orders"], csv=True
+    "src01_csv_scan": lambda t: _gaps(
+        t.written(t.raw.orders, "orders_csv", schemas.RAW["orders"], csv=True),
+        "delivery_time_days",
     ),
     "src02_quoted_csv": lambda t: t.written(
         _quoted(t.raw.products), "products_csv", schemas.RAW["products"], csv=True
