@@ -42,7 +42,10 @@ LINE = ["order_detail_id", "order_id", "product_id"]
 
 
 class Cleaned:
-    """The raw tables of a directory after cleaning, and the star built on them."""
+    """The raw tables of a directory after cleaning, and the star built on them.
+
+    Every cleaned table and mapping is written once, for all that read it.
+    """
 
     def __init__(self, raw: RawShop):
         self.raw = raw
@@ -55,13 +58,13 @@ class Cleaned:
     def _customers(self) -> tuple[DataFrame, DataFrame]:
         return cleaning.clean_customers(self.raw.customers)
 
-    @property
+    @cached_property
     def regions(self) -> DataFrame:
-        return self._regions[0]
+        return settle(self._regions[0], "clean_regions")
 
-    @property
+    @cached_property
     def customers(self) -> DataFrame:
-        return self._customers[0]
+        return settle(self._customers[0], "clean_customers")
 
     @cached_property
     def region_mapping(self) -> DataFrame:
@@ -79,15 +82,16 @@ class Cleaned:
 
     @cached_property
     def orders(self) -> DataFrame:
-        return cleaning.clean_orders(self.raw.orders, self.customer_mapping, self.region_mapping)
+        return settle(cleaning.finish_orders(self.repointed), "clean_orders")
 
     @cached_property
     def products(self) -> DataFrame:
-        return cleaning.clean_products(self.raw.products)
+        return settle(cleaning.clean_products(self.raw.products), "clean_products")
 
     @cached_property
     def order_details(self) -> DataFrame:
-        return cleaning.clean_order_details(self.raw.order_details, self.products)
+        lines = cleaning.clean_order_details(self.raw.order_details, self.products)
+        return settle(lines, "clean_order_details")
 
     @cached_property
     def fact(self) -> DataFrame:

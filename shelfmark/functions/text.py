@@ -10,19 +10,18 @@ from pyspark.sql import functions as F
 # Mail hosts whose missing "@" can be put back, in search order.
 EMAIL_HOSTS = ("gmail.com", "outlook.com", "yahoo.com", "hotmail.com", "icloud.com")
 
+_MARK = "\x01 "
+
 
 def title_case(text: Column) -> Column:
     """Upper-case the first letter of every run of letters, lower-case the rest.
 
-    ``initcap`` only starts a new word at a blank; here a hyphen, digit or
-    apostrophe starts one too ("esch-sur-alzette" -> "Esch-Sur-Alzette").
+    ``initcap`` starts a new word at a blank only, so a marked blank is put after
+    every other non-letter that a letter follows, and taken out again
+    ("esch-sur-alzette" -> "Esch-Sur-Alzette"). All three steps are compiled.
     """
-    runs = F.regexp_extract_all(text, F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
-    cased = F.transform(
-        runs,
-        lambda run: F.concat(F.upper(F.left(run, F.lit(1))), F.lower(F.substr(run, F.lit(2)))),
-    )
-    return F.array_join(cased, "")
+    marked = F.regexp_replace(text, r"(?<=[^\p{L} ])(?=\p{L})", _MARK)
+    return F.replace(F.initcap(marked), F.lit(_MARK), F.lit(""))
 
 
 def strip(text: Column) -> Column:

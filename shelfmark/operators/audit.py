@@ -29,15 +29,19 @@ def value_range(df: DataFrame, column: str, earliest: str, latest: str) -> DataF
     return df.agg(F.min(column).alias(earliest), F.max(column).alias(latest))
 
 
-def profile(df: DataFrame, column: str) -> DataFrame:
-    """Count, minimum, maximum, average and sample deviation of the values."""
-    return df.agg(
+def _statistics(column: str) -> list[Column]:
+    return [
         F.count(column).alias("value_count"),
         F.min(column).alias("minimum"),
         F.max(column).alias("maximum"),
         mean(column).alias("average"),
         F.stddev_samp(F.col(column).cast("double")).alias("deviation"),
-    )
+    ]
+
+
+def profile(df: DataFrame, column: str) -> DataFrame:
+    """Count, minimum, maximum, average and sample deviation of the values."""
+    return df.agg(*_statistics(column))
 
 
 def profile_with_percentiles(
@@ -49,14 +53,11 @@ def profile_with_percentiles(
     values (an age, a two-digit discount): Spark's own ``percentile`` then keeps
     a small table of counts. Other columns go through the distributed ranking.
     """
-    plain = profile(df, column)
     if few_values:
-        ranks = df.agg(
-            *(F.percentile(F.col(column), F.lit(p)).alias(n) for n, p in percentiles.items())
-        )
-    else:
-        ranks = exact_percentiles(df, column, percentiles)
-    return plain.select("*", *(ranks.select(n).scalar().alias(n) for n in percentiles))
+        ranks = (F.percentile(F.col(column), F.lit(p)).alias(n) for n, p in percentiles.items())
+        return df.agg(*_statistics(column), *ranks)
+    placed = exact_percentiles(df, column, percentiles).select(F.struct("*")).scalar()
+    return profile(df, column).withColumn("placed", placed).select("*", "placed.*").drop("placed")
 
 
 def by_extreme(df: DataFrame, column: str, key: str, columns: list[str]) -> DataFrame:

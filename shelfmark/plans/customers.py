@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.functions.measures import mean, margin_percent, percent, ratio
+from shelfmark.functions.measures import margin_percent, mean, percent, percent_of_all, ratio
 from shelfmark.operators.ranking import ntile
 
 # Upper bounds of the discount and churn classes, with their labels.
@@ -70,7 +70,7 @@ def value_tiles(fact: DataFrame, tiles: int = 5) -> DataFrame:
 
 
 def value_quintiles(fact: DataFrame, tiles: int = 5) -> DataFrame:
-    per_tile = (
+    return (
         value_tiles(fact, tiles)
         .groupBy("value_tile")
         .agg(
@@ -80,11 +80,9 @@ def value_quintiles(fact: DataFrame, tiles: int = 5) -> DataFrame:
             F.max("lifetime_value").alias("max_value"),
             F.sum("lifetime_value").alias("tile_revenue"),
         )
+        .withColumn("pct_of_revenue", percent_of_all("tile_revenue", digits=None))
+        .orderBy("value_tile")
     )
-    everything = F.sum("tile_revenue").over(Window.partitionBy())  # one row per tile
-    return per_tile.withColumn(
-        "pct_of_revenue", percent(F.col("tile_revenue"), everything, digits=None)
-    ).orderBy("value_tile")
 
 
 def by_loyalty(fact: DataFrame) -> DataFrame:
@@ -143,6 +141,10 @@ def discount_effect(
     )
 
 
+def _last_day(fact: DataFrame) -> Column:
+    return fact.agg(F.max("order_date")).scalar()
+
+
 def churn(
     fact: DataFrame,
     as_of: Column | None = None,
@@ -153,14 +155,12 @@ def churn(
     Without a date the last order date of the fact is taken.
     """
     last = fact.groupBy("customer_id").agg(F.max("order_date").alias("last_order"))
-    day = last.agg(F.max("last_order")).scalar() if as_of is None else as_of
+    day = _last_day(fact) if as_of is None else as_of
     status = _class_of(F.datediff(day, "last_order"), classes).otherwise(CHURNED)
-    counted = last.groupBy(status.alias("customer_status")).agg(
-        F.count("*").alias("customer_count")
-    )
-    everyone = F.sum("customer_count").over(Window.partitionBy())  # one row per status
-    return counted.withColumn(
-        "pct_customers", percent(F.col("customer_count"), everyone, digits=None)
+    return (
+        last.groupBy(status.alias("customer_status"))
+        .agg(F.count("*").alias("customer_count"))
+        .withColumn("pct_customers", percent_of_all("customer_count", digits=None))
     )
 
 
@@ -174,7 +174,7 @@ def rfm(fact: DataFrame, as_of: Column | None = None, tiles: int = 5) -> DataFra
         F.countDistinct("order_id").alias("frequency"),
         F.sum("revenue").alias("monetary"),
     )
-    day = buyers.agg(F.max("last_order")).scalar() if as_of is None else as_of
+    day = _last_day(fact) if as_of is None else as_of
     scored = buyers.withColumn("recency_days", F.datediff(day, "last_order")).drop("last_order")
     by_id = F.col("customer_id").asc()
     scored = ntile(scored, [F.col("recency_days").asc(), by_id], tiles, "recency_tile")

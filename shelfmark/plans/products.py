@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.functions.measures import margin_percent, percent
+from shelfmark.functions.measures import margin_percent, percent, percent_of_all
 
 PRODUCT_KEYS = ("product_id", "product_category")
 
@@ -72,11 +72,12 @@ def cross_selling(fact: DataFrame) -> DataFrame:
     spread = fact.groupBy("order_id").agg(
         F.countDistinct("product_category").alias("categories_per_order")
     )
-    counted = spread.groupBy("categories_per_order").agg(F.count("*").alias("order_count"))
-    orders = counted.agg(F.sum("order_count")).scalar()
-    return counted.withColumn(
-        "pct_of_orders", percent(F.col("order_count"), orders, digits=None)
-    ).orderBy("categories_per_order")
+    return (
+        spread.groupBy("categories_per_order")
+        .agg(F.count("*").alias("order_count"))
+        .withColumn("pct_of_orders", percent_of_all("order_count", digits=None))
+        .orderBy("categories_per_order")
+    )
 
 
 def loss_lines(fact: DataFrame) -> DataFrame:
@@ -129,9 +130,8 @@ def by_stock_status(fact: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def stock_status_shares(fact: DataFrame, products: DataFrame) -> DataFrame:
-    everything = fact.agg(F.sum("revenue")).scalar()
     return by_stock_status(fact, products).withColumn(
-        "pct_of_revenue", percent(F.col("total_revenue"), everything)
+        "pct_of_revenue", percent_of_all("total_revenue")
     )
 
 
@@ -139,11 +139,9 @@ def stock_status_share(
     fact: DataFrame, products: DataFrame, status: str = "Out of Stock"
 ) -> DataFrame:
     """One number: the percentage of all revenue from products in ``status``."""
-    everything = fact.agg(F.sum("revenue")).scalar()
-    return (
-        by_stock_status(fact, products)
-        .agg(F.sum(F.when(F.col("stock_status") == status, F.col("total_revenue"))).alias("part"))
-        .select(percent(F.col("part"), everything, digits=None).alias("pct_of_revenue"))
+    part = F.sum(F.when(F.col("stock_status") == status, F.col("total_revenue")))
+    return by_stock_status(fact, products).agg(
+        percent(part, F.sum("total_revenue"), digits=None).alias("pct_of_revenue")
     )
 
 

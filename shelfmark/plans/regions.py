@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.functions.measures import growth_percent, percent
+from shelfmark.functions.measures import growth_percent, percent_of_all
 from shelfmark.plans.revenue import margins
 
 COUNTRY = ("region_id", "region_country")
@@ -20,11 +20,9 @@ def revenue_by_country(fact: DataFrame) -> DataFrame:
 
 
 def country_shares(fact: DataFrame) -> DataFrame:
-    everything = fact.agg(F.sum("revenue")).scalar()
     return (
-        fact.groupBy(*COUNTRY)
-        .agg(F.sum("revenue").alias("country_revenue"))
-        .withColumn("country_share_pct", percent(F.col("country_revenue"), everything))
+        revenue_by_country(fact)
+        .withColumn("country_share_pct", percent_of_all("country_revenue"))
         .orderBy("country_share_pct")
     )
 
