@@ -29,20 +29,22 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
-def repair_email(email: Column, hosts: tuple[str, ...] = EMAIL_HOSTS) -> Column:
-    """A usable lower-case address, or NULL.
+def plain_address(email: Column) -> Column:
+    return F.lower(strip(email))
 
-    An address without "@" gets one before each occurrence of the first host
-    that it contains. The result is kept when the part between the first and
-    the second "@" holds a dot.
-    """
-    address = F.lower(strip(email))
-    with_at = reduce(
+
+def with_at_sign(address: Column, hosts: tuple[str, ...] = EMAIL_HOSTS) -> Column:
+    """Put the missing "@" before each occurrence of the first host found."""
+    mended = reduce(
         lambda otherwise, host: F.when(
             address.contains(host), F.replace(address, F.lit(host), F.lit("@" + host))
         ).otherwise(otherwise),
         reversed(hosts),
         address,
     )
-    repaired = F.when(address.contains("@"), address).otherwise(with_at)
-    return F.when(F.split_part(repaired, F.lit("@"), F.lit(2)).contains("."), repaired)
+    return F.when(address.contains("@"), address).otherwise(mended)
+
+
+def usable_address(address: Column) -> Column:
+    """The address if its part between the first and second "@" has a dot, else NULL."""
+    return F.when(F.split_part(address, F.lit("@"), F.lit(2)).contains("."), address)

@@ -7,7 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.functions.text import EMAIL_HOSTS, repair_email, title_case
+from shelfmark.functions.text import (
+    EMAIL_HOSTS,
+    plain_address,
+    title_case,
+    usable_address,
+    with_at_sign,
+)
 from shelfmark.sources.shared import settle
 
 
@@ -26,8 +32,18 @@ def repair_emails(
     original: str = "email_original",
     hosts: tuple[str, ...] = EMAIL_HOSTS,
 ) -> DataFrame:
-    """Repair addresses and keep what was there in ``original``."""
-    return df.withColumns({original: F.col(column), column: repair_email(F.col(column), hosts)})
+    """Repair addresses, keep what was there in ``original``; NULL if beyond repair.
+
+    An address is stripped and lower-cased, gets a missing "@" back before a
+    known host, and must then have a dot in its host. The steps are columns of
+    their own, so that each is computed once.
+    """
+    address = F.col(column)
+    return (
+        df.withColumns({original: address, column: plain_address(address)})
+        .withColumn(column, with_at_sign(address, hosts))
+        .withColumn(column, usable_address(address))
+    )
 
 
 def flag_missing(df: DataFrame, column: str, flag: str) -> DataFrame:

@@ -13,6 +13,7 @@ def new_session() -> SparkSession:
         SparkSession.builder.master("local[8]")
         .appName("shelfmark-tests")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
