@@ -82,7 +82,10 @@ class Cleaned:
 
     @cached_property
     def orders(self) -> DataFrame:
-        return settle(cleaning.finish_orders(self.repointed), "clean_orders")
+        orders = cleaning.clean_orders(
+            self.raw.orders, self.customer_mapping, self.region_mapping
+        )
+        return settle(orders, "clean_orders")
 
     @cached_property
     def products(self) -> DataFrame:

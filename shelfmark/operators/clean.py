@@ -98,7 +98,8 @@ def merge_duplicates(
     Rows with a NULL key never merge. The first row of a key is an aggregate,
     with partial results before the shuffle, and only keys with several rows
     reach the join. A row with a NULL key joins on its own id instead, so such
-    rows spread over all tasks.
+    rows spread over all tasks. The joined rows are written once; survivors and
+    mapping are filters over them.
     """
     whole_key = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
     first = F.min(F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)), id_column))
@@ -111,7 +112,8 @@ def merge_duplicates(
         "primaries",
     )
     spread = F.when(whole_key, F.lit(0)).otherwise(F.hash(id_column).bitwiseOR(F.lit(1)))
-    matched = df.withColumn("spread", spread).join(primaries, [*keys, "spread"], "left")
+    joined = df.withColumn("spread", spread).join(primaries, [*keys, "spread"], "left")
+    matched = settle(joined.select(*df.columns, "primary_id"), "matched")
     is_other = F.col("primary_id") != F.col(id_column)
     survivors = matched.filter(~F.coalesce(is_other, F.lit(False))).select(*df.columns)
     mapping = matched.filter(is_other).select(

@@ -117,16 +117,14 @@ def conform_orders(orders: DataFrame) -> DataFrame:
     return clean.conform(by_payment, "order_priority", ORDER_PRIORITIES)
 
 
-def finish_orders(repointed: DataFrame) -> DataFrame:
-    """Conform categories and fill delivery days by ship mode, after re-pointing."""
-    return clean.fill_group_median(
-        conform_orders(repointed), "delivery_time_days", "ship_mode"
-    )
-
-
 def clean_orders(raw: DataFrame, customer_map: DataFrame, region_map: DataFrame) -> DataFrame:
-    """Re-point merged ids, conform categories, fill delivery days."""
-    return finish_orders(repoint_orders(raw, customer_map, region_map))
+    """Conform categories, fill delivery days by ship mode, re-point merged ids.
+
+    The ids play no part in the first two steps. Doing those first lets the pass
+    for the medians read the raw orders alone, without the mapping joins.
+    """
+    filled = clean.fill_group_median(conform_orders(raw), "delivery_time_days", "ship_mode")
+    return repoint_orders(filled, customer_map, region_map)
 
 
 def drop_duplicate_lines(raw: DataFrame) -> DataFrame:
