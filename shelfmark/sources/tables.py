@@ -63,8 +63,8 @@ def write_mapping(df: DataFrame, path: str) -> None:
 def write_fact(fact: DataFrame, path: str) -> None:
     """Replace the sales fact, one folder per order year for partition pruning.
 
-    The rows are rebalanced by year first: adaptive execution then cuts a large
-    year into files near the advisory partition size and joins small ones.
-    Without it every task would leave a small file in every year.
+    Rows are written where the last join left them, without a shuffle of the wide
+    fact by year: each task leaves one file per year. Size those files with
+    ``spark.sql.adaptive.advisoryPartitionSizeInBytes``; see the README.
     """
-    write_table(fact.hint("rebalance", "order_year"), path, "order_year")
+    write_table(fact, path, "order_year")

@@ -78,6 +78,36 @@ def test_repoint_moves_mapped_ids_only(spark):
     assert rows(moved, "order_id") == [(1, "Z"), (2, "B"), (3, None)]
 
 
+def test_hot_customer_is_split_when_repointed(spark):
+    spark = spark.newSession()
+    for key, value in {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+    }.items():
+        spark.conf.set(key, value)
+    orders = spark.range(60_000).repartition(8).select(
+        F.col("id").alias("order_id"),
+        F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 5000).alias("customer_id"),
+        F.xxhash64("id").alias("payload"),
+    )
+    mapping = spark.range(1, 5000, 2).select(
+        F.col("id").alias("old_customer_id"), (F.col("id") - 1).alias("new_customer_id")
+    )
+    counted = clean.repoint(orders, "customer_id", mapping).agg(
+        F.count("*"),
+        F.count_if(F.col("customer_id") % 2 == 1),
+        F.count_if(F.col("customer_id") == 0),
+        F.max("payload"),
+    )
+    (row,) = counted.collect()
+    plan = counted._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert row[:2] == (60_000, 0) and row[2] > 20_000
+    assert "SortMergeJoin(skew=true)" in plan
+
+
 def test_fill_group_median(spark):
     people = frame(
         spark, "id int, country string, age int",
