@@ -288,7 +288,7 @@ AUDITS: dict[str, Question] = {
     "aud13_profit_signs": lambda t: audit.sign_split(t.raw.order_details, "profit"),
     "aud14_extreme_prices": lambda t: audit.outside_band(
         t.raw.products.select("product_id", "product_name", "category", "unit_price"),
-        "unit_price", F.lit(PRICE_BAND[0]), F.lit(PRICE_BAND[1]),
+        "unit_price", "product_id", F.lit(PRICE_BAND[0]), F.lit(PRICE_BAND[1]),
         ("Very cheap", "Very expensive", "Normal"),
     ),
     "aud15_region_ids_around_mapping": lambda t: audit.value_counts_around(
@@ -426,7 +426,7 @@ _open: dict[tuple[str, str], Tables] = {}
 
 def tables_of(spark: SparkSession, folder: str) -> Tables:
     """The tables of a directory, kept for the life of the Spark application."""
-    key = (spark.conf.get("spark.app.id"), folder)
+    key = (spark.conf.get("spark.app.id", "app"), folder)
     if key not in _open:
         _open[key] = Tables(spark, folder)
     return _open[key]

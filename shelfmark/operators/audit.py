@@ -87,13 +87,16 @@ def sign_split(df: DataFrame, column: str) -> DataFrame:
 
 
 def outside_band(
-    df: DataFrame, column: str, low: Column, high: Column, labels: tuple[str, str, str]
+    df: DataFrame, column: str, key: str, low: Column, high: Column, labels: tuple[str, str, str]
 ) -> DataFrame:
-    """Rows below ``low`` or above ``high``, labelled (low, high, in between)."""
+    """Rows below ``low`` or above ``high``, labelled (low, high, in between).
+
+    In order of the value; ``key`` lets many equal values be sorted in parts.
+    """
     value = F.col(column)
     below, above, between = labels
     label = F.when(value < low, below).when(value > high, above).otherwise(between)
-    return df.filter((value < low) | (value > high)).withColumn("band", label).orderBy(column)
+    return df.filter((value < low) | (value > high)).withColumn("band", label).orderBy(column, key)
 
 
 def value_counts(df: DataFrame, column: str, name: str = "row_count") -> DataFrame:

@@ -102,12 +102,17 @@ def loss_summary(fact: DataFrame) -> DataFrame:
 
 
 def lines_of_product(fact: DataFrame, products: DataFrame, product_id: object) -> DataFrame:
-    """All lines of one product, worst profit first."""
-    names = products.filter(F.col("product_id") == product_id)
+    """All lines of one product, worst profit first.
+
+    The product is one row, its key being unique, so it is broadcast: a shuffle on
+    the one id would bring all lines together.
+    """
+    wanted = F.col("product_id") == product_id
+    name = products.filter(wanted).select("product_id", "product_name")
     return (
-        fact.filter(F.col("product_id") == product_id)
+        fact.filter(wanted)
         .select("product_id", "order_id", "order_detail_id", "product_category", "profit")
-        .join(names.select("product_id", "product_name"), "product_id")
+        .join(F.broadcast(name), "product_id")
         .orderBy("profit", "order_id", "order_detail_id")
     )
 

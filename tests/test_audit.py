@@ -46,7 +46,7 @@ def test_zero_has_no_sign(numbers):
 
 def test_outside_band(numbers):
     labels = ("low", "high", "normal")
-    got = audit.outside_band(numbers, "value", F.lit(0), F.lit(5), labels).collect()
+    got = audit.outside_band(numbers, "value", "id", F.lit(0), F.lit(5), labels).collect()
     assert [(r.id, r.band) for r in got] == [(1, "low"), (4, "high")]
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from datetime import date, timedelta
 
 import pytest
@@ -22,6 +23,15 @@ def test_title_case_starts_a_word_after_every_non_letter(spark):
     assert [r.title for r in rows] == [n.title() for n in NAMES] + [None]
 
 
+def test_title_case_on_random_text(spark):
+    random.seed(7)
+    letters = "abXYZéÉøŁ019 -_'.,/\t"
+    texts = ["".join(random.choices(letters, k=random.randint(0, 12))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for row in df.select("t", text.title_case(F.col("t")).alias("title")).collect():
+        assert row.title == row.t.title(), repr(row.t)
+
+
 EMAILS = {
     "a.bgmail.com": "a.b@gmail.com",
     "A.B@GMAIL.COM": "a.b@gmail.com",
