@@ -118,7 +118,7 @@ class Tables:
         shaped = df.select(*(F.col(f.name).cast(f.dataType) for f in schemas.struct(schema)))
         if csv:
             tables.write_csv(shaped, path)
-            return tables.split_corrupt(tables.read_csv(self.spark, path, schema))[0]
+            return tables.load_csv(self.spark, path, schema)[0]
         tables.write_table(shaped, path)
         return tables.read_parquet(self.spark, path, schema)
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shelfmark.sources.schemas import RAW, struct
+from shelfmark.sources.shared import settle
 
 CORRUPT = "corrupt_record"
 
@@ -13,7 +15,7 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """CSV with a header, a fixed schema and doubled inner quotes.
 
     Rows that do not fit the schema are kept, with their text in
-    ``corrupt_record``; see :func:`split_corrupt`.
+    ``corrupt_record``.
     """
     return (
         spark.read.schema(struct(f"{schema}, {CORRUPT} string"))
@@ -26,20 +28,26 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     )
 
 
-def split_corrupt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows that fitted the schema, and the text of those that did not."""
-    fitted = df.filter(df[CORRUPT].isNull()).drop(CORRUPT)
-    return fitted, df.filter(df[CORRUPT].isNotNull()).select(CORRUPT)
+def load_csv(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Rows that fit the schema, and the text of those that do not.
+
+    The file is parsed once, with all its columns, into a settled table. Spark
+    parses only the columns a query asks for, so straight from the file different
+    queries would find different rows corrupt.
+    """
+    loaded = settle(read_csv(spark, path, schema), "loaded")
+    fits = F.col(CORRUPT).isNull()
+    return loaded.filter(fits).drop(CORRUPT), loaded.filter(~fits).select(CORRUPT)
 
 
-def read_raw(spark: SparkSession, folder: str, table: str) -> DataFrame:
+def load_raw(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """One raw table of the retail model from ``folder/<table>.csv``."""
-    return split_corrupt(read_csv(spark, f"{folder}/{table}.csv", RAW[table]))[0]
+    return load_csv(spark, f"{folder}/{table}.csv", RAW[table])[0]
 
 
-def read_mapping(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def load_mapping(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """An old-id/new-id table; it stays distributed."""
-    return split_corrupt(read_csv(spark, path, schema))[0]
+    return load_csv(spark, path, schema)[0]
 
 
 def read_parquet(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -14,7 +14,7 @@ def test_csv_quotes_and_types(spark, tmp_path):
         "product_id,product_name,category,subcategory,unit_price,cost_price,supplier,stock_status\n"
         'P1,"Screen 27"" wide, black",Tech,Screens,10.50,,Acme,in stock\n'
     )
-    row = tables.read_raw(spark, str(tmp_path), "products").first()
+    row = tables.load_raw(spark, str(tmp_path), "products").first()
     assert row.product_name == 'Screen 27" wide, black'
     assert (row.unit_price, row.cost_price) == (Decimal("10.50"), None)
 
@@ -22,8 +22,8 @@ def test_csv_quotes_and_types(spark, tmp_path):
 def test_rows_that_do_not_fit_are_kept_apart(spark, tmp_path):
     path = tmp_path / "mapping.csv"
     path.write_text("old_id,new_id\n1,2\nx,3\n")
-    read = tables.read_csv(spark, str(path), "old_id int, new_id int").cache()
-    fitted, corrupt = tables.split_corrupt(read)
+    fitted, corrupt = tables.load_csv(spark, str(path), "old_id int, new_id int")
+    assert (fitted.count(), corrupt.count()) == (1, 1)
     assert [tuple(r) for r in fitted.collect()] == [(1, 2)]
     assert [r[0] for r in corrupt.collect()] == ["x,3"]
 
@@ -31,7 +31,7 @@ def test_rows_that_do_not_fit_are_kept_apart(spark, tmp_path):
 def test_csv_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("a", 'q"uo,te'), ("b", None)], schemas.CUSTOMER_MAPPING)
     tables.write_csv(df, str(tmp_path / "m"))
-    back = tables.read_mapping(spark, str(tmp_path / "m"), schemas.CUSTOMER_MAPPING)
+    back = tables.load_mapping(spark, str(tmp_path / "m"), schemas.CUSTOMER_MAPPING)
     assert sorted(map(tuple, back.collect())) == [("a", 'q"uo,te'), ("b", None)]
 
 
