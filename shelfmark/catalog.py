@@ -242,18 +242,18 @@ BUSINESS: dict[str, Question] = {
 AUDITS: dict[str, Question] = {
     "aud01_null_counts": lambda t: audit.null_counts(t.raw.customers),
     "aud02_orders_without_customer": lambda t: audit.orphans(
-        t.raw.orders, t.shop.customers, "customer_id", "Customer does not exist",
+        t.raw.orders, t.shop.customers, "customer_id", audit.NO_CUSTOMER,
         ["order_id", "customer_id", "order_date"],
     ),
     "aud03_orders_without_region": lambda t: audit.orphans(
-        t.raw.orders, t.shop.regions, "region_id", "Region does not exist",
+        t.raw.orders, t.shop.regions, "region_id", audit.NO_REGION,
         ["order_id", "region_id", "order_date"],
     ),
     "aud04_lines_without_order": lambda t: audit.orphans(
-        t.raw.order_details, _known_orders(t), "order_id", "Order does not exist", LINE
+        t.raw.order_details, _known_orders(t), "order_id", audit.NO_ORDER, LINE
     ),
     "aud05_lines_without_product": lambda t: audit.orphans(
-        t.raw.order_details, t.raw.products, "product_id", "Product does not exist", LINE
+        t.raw.order_details, t.raw.products, "product_id", audit.NO_PRODUCT, LINE
     ),
     "aud06_signup_range": lambda t: audit.value_range(
         t.raw.customers, "signup_date", "earliest_signup", "latest_signup"
@@ -288,8 +288,7 @@ AUDITS: dict[str, Question] = {
     "aud13_profit_signs": lambda t: audit.sign_split(t.raw.order_details, "profit"),
     "aud14_extreme_prices": lambda t: audit.outside_band(
         t.raw.products.select("product_id", "product_name", "category", "unit_price"),
-        "unit_price", "product_id", F.lit(PRICE_BAND[0]), F.lit(PRICE_BAND[1]),
-        ("Very cheap", "Very expensive", "Normal"),
+        "unit_price", "product_id", PRICE_BAND,
     ),
     "aud15_region_ids_around_mapping": lambda t: audit.value_counts_around(
         t.raw.orders, t.cleaned.repointed, "region_id"

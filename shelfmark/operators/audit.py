@@ -10,6 +10,14 @@ from pyspark.sql import functions as F
 from shelfmark.functions.measures import margin_percent, mean, percent
 from shelfmark.operators.ranking import exact_percentiles
 
+# What the audits report, and the prices that count as extreme.
+NO_CUSTOMER = "Customer does not exist"
+NO_REGION = "Region does not exist"
+NO_ORDER = "Order does not exist"
+NO_PRODUCT = "Product does not exist"
+PRICE_BAND = (10, 2000)
+PRICE_LABELS = ("Very cheap", "Very expensive", "Normal")
+
 
 def null_counts(df: DataFrame) -> DataFrame:
     """NULLs per column: ``column_name``, ``null_count``. One pass over ``df``."""
@@ -87,13 +95,18 @@ def sign_split(df: DataFrame, column: str) -> DataFrame:
 
 
 def outside_band(
-    df: DataFrame, column: str, key: str, low: Column, high: Column, labels: tuple[str, str, str]
+    df: DataFrame,
+    column: str,
+    key: str,
+    band: tuple[float, float] = PRICE_BAND,
+    labels: tuple[str, str, str] = PRICE_LABELS,
 ) -> DataFrame:
-    """Rows below ``low`` or above ``high``, labelled (low, high, in between).
+    """Rows below or above the band, labelled (below, above, in between).
 
     In order of the value; ``key`` lets many equal values be sorted in parts.
     """
     value = F.col(column)
+    low, high = band
     below, above, between = labels
     label = F.when(value < low, below).when(value > high, above).otherwise(between)
     return df.filter((value < low) | (value > high)).withColumn("band", label).orderBy(column, key)

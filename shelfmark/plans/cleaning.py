@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from shelfmark.operators import clean
 
-# Accepted spellings of each category and their standard form.
+# Accepted spellings of each category and their standard form, the
+# loyalty of customers without one, and the cost share of products without a cost.
 REGION_NAMES = {
     "benelux": "Benelux",
     "BENELUX": "Benelux",

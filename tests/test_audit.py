@@ -5,8 +5,6 @@ from __future__ import annotations
 from decimal import Decimal
 
 import pytest
-from pyspark.sql import functions as F
-
 from shelfmark.operators import audit
 
 D = Decimal
@@ -46,7 +44,7 @@ def test_zero_has_no_sign(numbers):
 
 def test_outside_band(numbers):
     labels = ("low", "high", "normal")
-    got = audit.outside_band(numbers, "value", "id", F.lit(0), F.lit(5), labels).collect()
+    got = audit.outside_band(numbers, "value", "id", (0, 5), labels).collect()
     assert [(r.id, r.band) for r in got] == [(1, "low"), (4, "high")]
 
 
