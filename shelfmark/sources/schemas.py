@@ -54,6 +54,28 @@ CLEANED = {
     "region_id_mapping": REGION_MAPPING,
 }
 
+FACT_SALES = (
+    "order_date date, order_quarter int, order_month int, order_month_name string, "
+    "order_day int, order_day_name string, customer_id string, product_id string, "
+    "region_id string, order_id string, order_detail_id string, quantity int, "
+    "discount decimal(5,2), tax_rate decimal(5,2), unit_price decimal(10,2), "
+    "cost_price decimal(10,2), revenue decimal(10,2), cost decimal(10,2), "
+    "profit decimal(10,2), shipping_cost decimal(10,2), profit_margin decimal(18,4), "
+    "discount_amount decimal(10,2), gross_amount decimal(10,2), ship_mode string, "
+    "payment_method string, order_priority string, delivery_time_days int, "
+    "is_loss_sale boolean, is_discounted boolean, is_high_value boolean, "
+    "is_bulk_order boolean, region_country string, customer_loyalty_status string, "
+    "customer_full_name string, product_category string, product_subcategory string, "
+    "product_supplier string, region_name string, region_manager string, order_year int"
+)
+DIM_DATE = (
+    "date_key int, full_date date, year int, year_name string, quarter int, "
+    "quarter_name string, month int, month_name string, month_name_short string, "
+    "month_year string, week_of_year int, day int, day_of_week int, day_name string, "
+    "day_name_short string, is_weekend boolean, is_weekday boolean"
+)
+WAREHOUSE = {**CLEANED, "fact_sales": FACT_SALES, "dim_date": DIM_DATE}
+
 
 def struct(ddl: str) -> StructType:
     return StructType.fromDDL(ddl)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from shelfmark.operators.star import build_fact_sales
-from shelfmark.plans import cleaning, customers, products, revenue
-from shelfmark.sources import schemas, tables
+import pytest
+
+from shelfmark.operators import star
+from shelfmark.plans import customers, products, revenue, time_series, warehouse
 
 FILES = {
     "regions": """region_id,country,region_name,manager
@@ -38,39 +39,29 @@ L5,O3,P2,1,0.10,0.21,10.89,
 }
 
 
-def test_from_files_to_answers(spark, tmp_path):
+@pytest.fixture(scope="module")
+def shop(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("flow")
     for name, text in FILES.items():
-        (tmp_path / f"{name}.csv").write_text(text)
-    raw = {name: tables.load_raw(spark, str(tmp_path), name) for name in FILES}
+        (folder / f"{name}.csv").write_text(text)
+    warehouse.build_warehouse(spark, str(folder), str(folder / "target"))
+    return warehouse.open_warehouse(spark, str(folder / "target"))
+
+
+def test_schemas_are_as_declared(shop):
+    written = star.with_calendar_parts(shop["dim_date"].select("full_date"))
+    assert written.dtypes == shop["dim_date"].dtypes
+    assert sorted(shop["fact_sales"].columns) == sorted(star.FACT_COLUMNS)
+    assert shop["dim_date"].count() == 1826
+
+
+def test_mappings_are_written(shop):
+    assert [tuple(r) for r in shop["customer_id_mapping"].collect()] == [("C1", "C2")]
+    assert [tuple(r) for r in shop["region_id_mapping"].collect()] == [("R2", "R1")]
 
-    regions, region_map = cleaning.clean_regions(raw["regions"])
-    people, people_map = cleaning.clean_customers(raw["customers"])
-    goods = cleaning.clean_products(raw["products"])
-    tables.write_mapping(people_map, str(tmp_path / "customer_map"))
-    people_map = tables.read_parquet(
-        spark, str(tmp_path / "customer_map"), schemas.CUSTOMER_MAPPING
-    )
-    orders = cleaning.clean_orders(raw["orders"], people_map, region_map)
-    lines = cleaning.clean_order_details(raw["order_details"], goods)
-    for name, df in {
-        "regions": regions, "customers": people, "products": goods, "orders": orders,
-        "order_details": lines,
-    }.items():
-        tables.write_table(df, str(tmp_path / "clean" / name))
-    clean = {
-        name: tables.read_parquet(spark, str(tmp_path / "clean" / name), schemas.CLEANED[name])
-        for name in FILES
-    }
-    target = str(tmp_path / "fact")
-    tables.write_fact(
-        build_fact_sales(
-            clean["order_details"], clean["orders"], clean["customers"], clean["products"],
-            clean["regions"],
-        ),
-        target,
-    )
-    fact = spark.read.parquet(target)
 
+def test_from_files_to_answers(shop):
+    fact = shop["fact_sales"]
     years = {r.order_year: r for r in revenue.by_year(fact).collect()}
     assert years[2023].total_revenue == Decimal("145.20")  # the doubled line counts once
     assert years[2023].total_profit == Decimal("46.00")  # 40 + (2 * 10 - 2 * 7)
@@ -81,5 +72,9 @@ def test_from_files_to_answers(spark, tmp_path):
     places = {(r.region_id, r.region_country) for r in fact.collect()}
     assert places == {("R1", "Spain"), ("R3", "Italy")}
     assert {r.delivery_time_days for r in fact.collect()} == {2, 3}  # 2.5 filled, cut to whole
-    low = products.restock_list(fact, clean["products"], "Low Stock").collect()
+    low = products.restock_list(fact, shop["products"], "Low Stock").collect()
     assert [(r.product_name, r.times_sold, r.total_quantity) for r in low] == [("Pen, red", 2, 3)]
+    months = time_series.same_month_last_year(fact, shop["dim_date"]).collect()
+    assert [(r.year, r.month, r.same_month_last_year) for r in months] == [
+        (2023, 3, None), (2024, 3, Decimal("145.20")), (2024, 4, None),
+    ]
