@@ -141,10 +141,6 @@ def discount_effect(
     )
 
 
-def _last_day(fact: DataFrame) -> Column:
-    return fact.agg(F.max("order_date")).scalar()
-
-
 def churn(
     fact: DataFrame,
     as_of: Column | None = None,
@@ -152,14 +148,18 @@ def churn(
 ) -> DataFrame:
     """Customers by days since their last order at ``as_of``.
 
-    Without a date the last order date of the fact is taken.
+    Without a date the last order date of the fact is taken. Customers are counted
+    per last day first, so that date is found among days, without another scan.
     """
     last = fact.groupBy("customer_id").agg(F.max("order_date").alias("last_order"))
-    day = _last_day(fact) if as_of is None else as_of
-    status = _class_of(F.datediff(day, "last_order"), classes).otherwise(CHURNED)
+    per_day = last.groupBy("last_order").agg(F.count("*").alias("customers"))
+    newest = F.max("last_order").over(Window.partitionBy())  # one row per day
+    gap = F.datediff(newest if as_of is None else as_of, "last_order")
+    status = _class_of(F.col("gap"), classes).otherwise(CHURNED)
     return (
-        last.groupBy(status.alias("customer_status"))
-        .agg(F.count("*").alias("customer_count"))
+        per_day.withColumn("gap", gap)
+        .groupBy(status.alias("customer_status"))
+        .agg(F.sum("customers").alias("customer_count"))
         .withColumn("pct_customers", percent_of_all("customer_count", digits=None))
     )
 
@@ -174,7 +174,7 @@ def rfm(fact: DataFrame, as_of: Column | None = None, tiles: int = 5) -> DataFra
         F.countDistinct("order_id").alias("frequency"),
         F.sum("revenue").alias("monetary"),
     )
-    day = _last_day(fact) if as_of is None else as_of
+    day = fact.agg(F.max("order_date")).scalar() if as_of is None else as_of
     scored = buyers.withColumn("recency_days", F.datediff(day, "last_order")).drop("last_order")
     by_id = F.col("customer_id").asc()
     scored = ntile(scored, [F.col("recency_days").asc(), by_id], tiles, "recency_tile")

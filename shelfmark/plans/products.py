@@ -124,18 +124,21 @@ def lines_by_profit(fact: DataFrame) -> DataFrame:
     ).orderBy("profit", "order_id", "order_detail_id")
 
 
-def by_stock_status(fact: DataFrame, products: DataFrame) -> DataFrame:
+def _stock_revenue(fact: DataFrame, products: DataFrame) -> DataFrame:
     per_id = fact.groupBy("product_id").agg(F.sum("revenue").alias("revenue"))
     return (
         per_id.join(products.select("product_id", "stock_status"), "product_id")
         .groupBy("stock_status")
         .agg(F.sum("revenue").alias("total_revenue"))
-        .orderBy(F.desc("total_revenue"))
     )
 
 
+def by_stock_status(fact: DataFrame, products: DataFrame) -> DataFrame:
+    return _stock_revenue(fact, products).orderBy(F.desc("total_revenue"))
+
+
 def stock_status_shares(fact: DataFrame, products: DataFrame) -> DataFrame:
-    return by_stock_status(fact, products).withColumn(
+    return _stock_revenue(fact, products).withColumn(
         "pct_of_revenue", percent_of_all("total_revenue")
     )
 
@@ -145,7 +148,7 @@ def stock_status_share(
 ) -> DataFrame:
     """One number: the percentage of all revenue from products in ``status``."""
     part = F.sum(F.when(F.col("stock_status") == status, F.col("total_revenue")))
-    return by_stock_status(fact, products).agg(
+    return _stock_revenue(fact, products).agg(
         percent(part, F.sum("total_revenue"), digits=None).alias("pct_of_revenue")
     )
 

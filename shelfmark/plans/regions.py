@@ -11,17 +11,17 @@ from shelfmark.plans.revenue import margins
 COUNTRY = ("region_id", "region_country")
 
 
+def _country_revenue(fact: DataFrame) -> DataFrame:
+    return fact.groupBy(*COUNTRY).agg(F.sum("revenue").alias("country_revenue"))
+
+
 def revenue_by_country(fact: DataFrame) -> DataFrame:
-    return (
-        fact.groupBy(*COUNTRY)
-        .agg(F.sum("revenue").alias("country_revenue"))
-        .orderBy(F.desc("country_revenue"))
-    )
+    return _country_revenue(fact).orderBy(F.desc("country_revenue"))
 
 
 def country_shares(fact: DataFrame) -> DataFrame:
     return (
-        revenue_by_country(fact)
+        _country_revenue(fact)
         .withColumn("country_share_pct", percent_of_all("country_revenue"))
         .orderBy("country_share_pct")
     )
