@@ -147,7 +147,7 @@ def _quoted(products_: DataFrame) -> DataFrame:
 
 
 def _known_orders(t: Tables) -> DataFrame:
-    return t.raw.orders.join(t.shop.customers, "customer_id", "left_semi")
+    return t.raw.placed_orders.join(t.shop.customers, "customer_id", "left_semi")
 
 
 BUSINESS: dict[str, Question] = {
@@ -208,7 +208,7 @@ BUSINESS: dict[str, Question] = {
         t.shop.fact, t.shop.products, "Out of Stock"
     ),
     "q35_delivery_by_ship_mode": lambda t: operations.delivery_days(t.shop.fact, "ship_mode"),
-    "q36_on_time": lambda t: operations.on_time(t.shop.orders, DELIVERY_LIMITS),
+    "q36_on_time": lambda t: operations.on_time(t.shop.placed_orders, DELIVERY_LIMITS),
     "q37_shipping_share_by_order": lambda t: operations.shipping_share_by_order(t.shop.fact),
     "q38_shipping_share": lambda t: operations.shipping_share(t.shop.fact),
     "q39_delivery_by_priority": lambda t: operations.delivery_days(
@@ -247,7 +247,7 @@ BUSINESS: dict[str, Question] = {
 AUDITS: dict[str, Question] = {
     "aud01_null_counts": lambda t: audit.null_counts(t.raw.customers),
     "aud02_orders_without_customer": lambda t: audit.orphans(
-        t.raw.orders, t.shop.customers, "customer_id", audit.NO_CUSTOMER,
+        t.raw.placed_orders, t.shop.customers, "customer_id", audit.NO_CUSTOMER,
         ["order_id", "customer_id", "order_date"],
     ),
     "aud03_orders_without_region": lambda t: audit.orphans(
@@ -255,16 +255,16 @@ AUDITS: dict[str, Question] = {
         ["order_id", "region_id", "order_date"],
     ),
     "aud04_lines_without_order": lambda t: audit.orphans(
-        t.raw.order_details, _known_orders(t), "order_id", audit.NO_ORDER, LINE
+        t.raw.unpriced_lines, _known_orders(t), "order_id", audit.NO_ORDER, LINE
     ),
     "aud05_lines_without_product": lambda t: audit.orphans(
-        t.raw.order_details, t.raw.products, "product_id", audit.NO_PRODUCT, LINE
+        t.raw.unpriced_lines, t.raw.products, "product_id", audit.NO_PRODUCT, LINE
     ),
     "aud06_signup_range": lambda t: audit.value_range(
         t.raw.customers, "signup_date", "earliest_signup", "latest_signup"
     ),
     "aud06_order_range": lambda t: audit.value_range(
-        t.raw.orders, "order_date", "earliest_order", "latest_order"
+        t.raw.placed_orders, "order_date", "earliest_order", "latest_order"
     ),
     "aud07_age_profile": lambda t: _rounded(
         audit.profile_with_percentiles(
@@ -281,7 +281,7 @@ AUDITS: dict[str, Question] = {
     ),
     "aud10_discount_profile": lambda t: _rounded(
         audit.profile_with_percentiles(
-            t.raw.order_details, "discount", {"median": 0.5}, few_values=True
+            t.raw.unpriced_lines, "discount", {"median": 0.5}, few_values=True
         ),
         "deviation",
     ),
@@ -298,7 +298,7 @@ AUDITS: dict[str, Question] = {
     "aud15_region_ids_around_mapping": lambda t: audit.value_counts_around(
         t.cleaned.raw_orders, t.cleaned.repointed, "region_id"
     ),
-    "aud15_ship_modes": lambda t: audit.value_counts(t.raw.orders, "ship_mode"),
+    "aud15_ship_modes": lambda t: audit.value_counts(t.raw.placed_orders, "ship_mode"),
     "aud16_shared_emails": lambda t: audit.duplicate_census(
         clean.repair_emails(t.raw.customers), "email"
     ),
@@ -316,7 +316,7 @@ AUDITS: dict[str, Question] = {
         },
     ),
     "aud19_calendar_days": lambda t: audit.row_count(
-        star.calendar_of(t.shop.orders), "total_dates"
+        star.calendar_of(t.shop.placed_orders), "total_dates"
     ),
 }
 
@@ -360,9 +360,9 @@ CLEANING: dict[str, Question] = {
 }
 
 CONSTRUCTION: dict[str, Question] = {
-    "dim01_calendar": lambda t: star.calendar_of(t.shop.orders),
+    "dim01_calendar": lambda t: star.calendar_of(t.shop.placed_orders),
     "fct01_fact_sales": lambda t: _gaps(t.shop.fact, "delivery_time_days"),
-    "fct02_date_parts": lambda t: t.shop.orders.select("order_id", "order_date").withColumns(
+    "fct02_date_parts": lambda t: t.shop.placed_orders.select("order_id", "order_date").withColumns(
         star.order_date_parts()
     ),
     "fct03_shipping_allocation": lambda t: t.shop.fact.groupBy("order_id").agg(

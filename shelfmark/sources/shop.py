@@ -47,15 +47,6 @@ def _lookup(column: str, names: dict[str, str]) -> Column:
     return F.try_element_at(F.create_map(*pairs), F.col(column))
 
 
-def _one_per_key(df: DataFrame, key: str, value: str) -> DataFrame:
-    """``value`` by ``key``, grouped although the key is unique.
-
-    Catalyst then knows that a left join on it adds no rows, and drops the join
-    from every query that does not ask for the value.
-    """
-    return df.groupBy(key).agg(F.min(value).alias(value))
-
-
 class Shop:
     """The clean retail tables of one directory; each is a lazy DataFrame."""
 
@@ -87,9 +78,7 @@ class Shop:
 
     @cached_property
     def customers(self) -> DataFrame:
-        nation = _one_per_key(self.table("nation"), "n_nationkey", "n_name").toDF(
-            "c_nationkey", "n_name"
-        )
+        nation = self.table("nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
         name = F.col("c_name")
         return (
             self.table("customer")
@@ -134,10 +123,12 @@ class Shop:
         )
 
     @cached_property
-    def orders(self) -> DataFrame:
-        buyers = _one_per_key(self.table("customer"), "c_custkey", "c_nationkey").toDF(
-            "customer_id", "region_id"
-        )
+    def placed_orders(self) -> DataFrame:
+        """The orders without their region, which costs a join with the customers.
+
+        The delivery days cost one too, but there each order occurs once in an
+        aggregate, so Catalyst drops the join where they are not asked for.
+        """
         days = F.datediff("delivered", "order_date")
         return (
             self.table("orders")
@@ -151,14 +142,16 @@ class Shop:
                 _lookup("o_orderpriority", PRIORITIES).alias("order_priority"),
             )
             .join(self.deliveries, "order_id", "left")
-            .join(buyers, "customer_id", "left")
-            .select(
-                "order_id", "order_date", "customer_id", "region_id", "ship_mode",
-                "payment_method",
-                F.when(days >= 0, days).alias("delivery_time_days"),
-                "shipping_cost", "order_priority",
-            )
-        )
+            .withColumn("delivery_time_days", F.when(days >= 0, days))
+            .drop("delivered")
+        )
+
+    @cached_property
+    def orders(self) -> DataFrame:
+        homes = self.table("customer").select(
+            F.col("c_custkey").alias("customer_id"), F.col("c_nationkey").alias("region_id")
+        )
+        return self.placed_orders.join(homes, "customer_id", "left")
 
     @cached_property
     def unpriced_lines(self) -> DataFrame:
@@ -188,17 +181,12 @@ class Shop:
 
     @cached_property
     def order_details(self) -> DataFrame:
-        costs = _one_per_key(self.products, "product_id", "cost_price").toDF(
-            "product_id", "unit_cost"
-        )
+        costs = self.products.select("product_id", F.col("cost_price").alias("unit_cost"))
         return (
             self.unpriced_lines.join(costs, "product_id", "left")
             .withColumn("profit", self.line_profit("unit_cost"))
-            .select(
-                "order_detail_id", "order_id", "product_id", "quantity", "discount",
-                "tax_rate", "total_price", "profit",
-            )
-        )
+            .drop("unit_cost", "net_amount")
+        )
 
     @cached_property
     def fact(self) -> DataFrame:
@@ -276,49 +264,57 @@ class RawShop(Shop):
             }
         )
 
-    @cached_property
-    def orders(self) -> DataFrame:
-        """Spellings, references to doubled regions, and orphan customers."""
+    @staticmethod
+    def _spoil_orders(orders: DataFrame) -> DataFrame:
         key = F.col("order_id")
 
         def cased(column: str) -> Column:
             spelled = F.when(key % 3 == 0, F.lower(column)).when(key % 3 == 1, F.upper(column))
             return spelled.otherwise(F.col(column))
 
-        doubled = (F.col("region_id") % 5 == 0) & (key % 2 == 0)
-        return self.clean.orders.withColumns(
-            {
-                "ship_mode": cased("ship_mode"),
-                "payment_method": cased("payment_method"),
-                "order_priority": cased("order_priority"),
-                "region_id": F.when(doubled, F.col("region_id") + 100).otherwise(
-                    F.col("region_id")
-                ),
-                "customer_id": F.when(key % 500 == 0, -1 - F.col("customer_id")).otherwise(
-                    F.col("customer_id")
-                ),
-            }
+        orphan = F.when(key % 500 == 0, -1 - F.col("customer_id"))
+        texts = {c: cased(c) for c in ("ship_mode", "payment_method", "order_priority")}
+        return orders.withColumns(
+            {**texts, "customer_id": orphan.otherwise(F.col("customer_id"))}
         )
 
     @cached_property
-    def order_details(self) -> DataFrame:
-        """Missing discounts and profits, unknown products, and doubled lines.
+    def placed_orders(self) -> DataFrame:
+        """Spellings and orphan customers."""
+        return self._spoil_orders(self.clean.placed_orders)
 
-        Every line of each 50th order occurs twice.
-        """
-        key = F.col("order_id")
+    @cached_property
+    def orders(self) -> DataFrame:
+        """As the placed orders, with references to doubled regions."""
+        region = F.col("region_id")
+        doubled = (region % 5 == 0) & (F.col("order_id") % 2 == 0)
+        return self._spoil_orders(self.clean.orders).withColumn(
+            "region_id", F.when(doubled, region + 100).otherwise(region)
+        )
+
+    @staticmethod
+    def _spoil_lines(lines: DataFrame) -> DataFrame:
+        key, product = F.col("order_id"), F.col("product_id")
         copies = F.when(key % 50 == 0, 2).otherwise(1)
         return (
-            self.clean.order_details.withColumns(
+            lines.withColumns(
                 {
                     "discount": F.when(key % 7 != 0, F.col("discount")),
-                    "profit": F.when(key % 11 != 0, F.col("profit")),
-                    "product_id": F.when(key % 700 == 0, -1 - F.col("product_id")).otherwise(
-                        F.col("product_id")
-                    ),
+                    "product_id": F.when(key % 700 == 0, -1 - product).otherwise(product),
                 }
             )
             .withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1)))
             .withColumn("order_detail_id", F.col("order_detail_id") + F.col("copy") * 10)
             .drop("copy")
         )
+
+    @cached_property
+    def unpriced_lines(self) -> DataFrame:
+        """Missing discounts, unknown products, every line of each 50th order twice."""
+        return self._spoil_lines(self.clean.unpriced_lines)
+
+    @cached_property
+    def order_details(self) -> DataFrame:
+        """As the unpriced lines, with missing profits."""
+        known = F.when(F.col("order_id") % 11 != 0, F.col("profit"))
+        return self._spoil_lines(self.clean.order_details.withColumn("profit", known))
