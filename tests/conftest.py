@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import pytest
 from pyspark.sql import SparkSession
 
@@ -17,7 +15,6 @@ def new_session() -> SparkSession:
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
-        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="shelfmark-tests-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

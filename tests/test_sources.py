@@ -40,18 +40,31 @@ def test_every_schema_parses():
         assert len(schemas.struct(ddl)) >= 2
 
 
-def test_shared_folder_is_the_named_one(spark):
-    named = spark.conf.get("spark.checkpoint.dir")
-    assert shared.new_table_path(spark, "x").startswith(named + "/")
+class Session:
+    """Only the settings of a session."""
 
+    def __init__(self, **settings):
+        self.conf = {f"spark.{key.replace('_', '.')}": value for key, value in settings.items()}
 
-def test_a_cluster_without_shared_folder_is_refused():
-    class Conf:
-        def get(self, key, default=None):
-            return {"spark.master": "yarn"}.get(key, default)
 
-    class Session:
-        conf = Conf()
+def test_shared_folder_is_the_named_one():
+    named = Session(master="yarn", checkpoint_dir="hdfs://shared/checkpoints/", app_id="app-1")
+    assert shared.shared_folder(named) == "hdfs://shared/checkpoints"
+    first, second = (shared.new_table_path(named, "x") for _ in range(2))
+    assert first.startswith("hdfs://shared/checkpoints/shelfmark/app-1/x-") and first != second
+
+
+def test_a_local_session_may_do_without():
+    assert shared.shared_folder(Session(master="local[2]"))
+
 
+def test_a_cluster_without_shared_folder_is_refused():
     with pytest.raises(RuntimeError):
-        shared.shared_folder(Session())
+        shared.shared_folder(Session(master="yarn"))
+
+
+def test_settled_table_keeps_rows_and_schema(spark):
+    df = spark.range(10).selectExpr("id", "cast(id as decimal(10,2)) as m", "date'2024-01-01' as d")
+    again = shared.settle(df, "t")
+    assert again.dtypes == df.dtypes and again.exceptAll(df).count() == 0
+    assert "Range" not in again._jdf.queryExecution().executedPlan().toString()
