@@ -10,22 +10,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DecimalType
 
 from shelfmark.operators import audit, clean, star
-from shelfmark.plans import (
-    cleaning,
-    customers,
-    operations,
-    products,
-    regions,
-    revenue,
-    time_series,
-)
+from shelfmark.plans import cleaning, questions, revenue
 from shelfmark.sources import schemas, tables
 from shelfmark.sources.shared import new_table_path, settle
 from shelfmark.sources.shop import RawShop, Shop
 
 # Parameters of the questions for these tables; the functions' own defaults fit
 # the original retail data.
-COUNTRIES = [f"NATION_{i}" for i in range(25)]
+PARAMETERS = questions.Parameters(
+    countries=tuple(f"NATION_{i}" for i in range(25)),
+    discount_classes=((0.03, "1-3%"), (0.07, "4-7%"), (0.10, "8-10%")),
+    delivery_limits={"Overnight": 500, "Express": 1000, "Standard": 1500, "Economy": 2000},
+    partial_quarters=((2001, 3),),
+    product=137,
+    as_of=None,
+)
 REGION_SPELLINGS = {
     "africa": "AFRICA",
     "america": "AMERICA",
@@ -33,10 +32,6 @@ REGION_SPELLINGS = {
     "europe": "EUROPE",
     "middle east": "MIDDLE EAST",
 }
-DISCOUNT_CLASSES = ((0.03, "1-3%"), (0.07, "4-7%"), (0.10, "8-10%"))
-DELIVERY_LIMITS = {"Overnight": 500, "Express": 1000, "Standard": 1500, "Economy": 2000}
-PARTIAL_QUARTERS = ((2001, 3),)
-PRODUCT = 137
 PRICE_BAND = (1300, 1400)
 LINE = ["order_detail_id", "order_id", "product_id"]
 
@@ -108,12 +103,40 @@ class Cleaned:
         )
 
 
+class ShopWarehouse:
+    """The shop's tables under the names the business questions use."""
+
+    def __init__(self, shop: Shop):
+        self.shop = shop
+
+    @property
+    def fact(self) -> DataFrame:
+        return self.shop.fact
+
+    @property
+    def customers(self) -> DataFrame:
+        return self.shop.customers
+
+    @property
+    def products(self) -> DataFrame:
+        return self.shop.products
+
+    @property
+    def orders(self) -> DataFrame:
+        return self.shop.placed_orders
+
+    @property
+    def calendar(self) -> DataFrame:
+        return star.calendar_of(self.shop.fact)
+
+
 class Tables:
     """One directory as clean shop, raw shop and cleaned tables."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.shop = Shop(spark, folder)
+        self.warehouse = ShopWarehouse(self.shop)
         self.raw = RawShop(spark, folder)
         self.cleaned = Cleaned(self.raw)
 
@@ -150,98 +173,21 @@ def _known_orders(t: Tables) -> DataFrame:
     return t.raw.placed_orders.join(t.shop.customers, "customer_id", "left_semi")
 
 
+def _business(name: str) -> Question:
+    return lambda t: questions.QUESTIONS[name](t.warehouse, PARAMETERS)
+
+
 BUSINESS: dict[str, Question] = {
-    "q01_revenue_by_year": lambda t: revenue.by_year(t.shop.fact),
-    "q02_revenue_by_quarter": lambda t: revenue.by_quarter(t.shop.fact),
-    "q03_revenue_by_month": lambda t: revenue.by_month(t.shop.fact),
-    "q04_margin_by_category": lambda t: revenue.margin_by_category(t.shop.fact),
-    "q05_margin_by_product": lambda t: products.margin_by_product(t.shop.fact, t.shop.products),
-    "q06_margin_by_country": lambda t: revenue.margin_by_country(t.shop.fact),
-    "q07_top_products": lambda t: products.extreme_products(t.shop.fact, t.shop.products),
-    "q08_bottom_products": lambda t: products.extreme_products(
-        t.shop.fact, t.shop.products, best=False
-    ),
-    "q09_yearly_growth": lambda t: revenue.yearly_growth(t.shop.fact),
+    **{name: _business(name) for name in questions.QUESTIONS},
     "q10_signups_by_month": lambda t: _gaps(
-        customers.signups_by_month(t.shop.customers), "signup_year", "signup_month"
-    ),
-    "q11_orders_per_customer": lambda t: customers.orders_per_customer(t.shop.fact),
-    "q12_repeat_rate": lambda t: customers.repeat_rate(t.shop.fact),
-    "q13_lifetime_revenue": lambda t: customers.lifetime_value(t.shop.fact),
-    "q14_lifetime_profit": lambda t: customers.lifetime_value(t.shop.fact, "profit", "revenue"),
-    "q15_value_quintiles": lambda t: customers.value_quintiles(t.shop.fact),
-    "q16_loyalty_averages": lambda t: customers.by_loyalty(t.shop.fact),
-    "q17_customers_by_country": lambda t: customers.counts_by_country(
-        t.shop.customers, COUNTRIES
-    ),
-    "q18_customer_shares": lambda t: customers.shares_by_country(t.shop.customers, COUNTRIES),
-    "q19_discount_effect": lambda t: customers.discount_effect(t.shop.fact, DISCOUNT_CLASSES),
-    "q20_churn": lambda t: customers.churn(t.shop.fact),
-    "q21_products_by_revenue": lambda t: products.by_total(
-        t.shop.fact, t.shop.products, "revenue", "total_revenue"
-    ),
-    "q22_products_by_quantity": lambda t: products.by_total(
-        t.shop.fact, t.shop.products, "quantity", "total_quantity"
-    ),
-    "q23_products_by_profit": lambda t: products.by_total(
-        t.shop.fact, t.shop.products, "profit", "total_profit"
-    ),
-    "q24_categories": lambda t: products.categories(t.shop.fact),
-    "q25_cross_selling": lambda t: products.cross_selling(t.shop.fact),
-    "q26_loss_lines": lambda t: products.loss_lines(t.shop.fact),
-    "q27_loss_summary": lambda t: products.loss_summary(t.shop.fact),
-    "q28_lines_of_product": lambda t: products.lines_of_product(
-        t.shop.fact, t.shop.products, PRODUCT
-    ),
-    "q29_lines_by_profit": lambda t: products.lines_by_profit(t.shop.fact),
-    "q30_revenue_by_stock_status": lambda t: products.by_stock_status(
-        t.shop.fact, t.shop.products
-    ),
-    "q31_stock_status_shares": lambda t: products.stock_status_shares(
-        t.shop.fact, t.shop.products
-    ),
-    "q32_low_stock": lambda t: products.restock_list(t.shop.fact, t.shop.products, "Low Stock"),
-    "q33_out_of_stock_share": lambda t: products.stock_status_share(
-        t.shop.fact, t.shop.products
-    ),
-    "q34_out_of_stock": lambda t: products.restock_list(
-        t.shop.fact, t.shop.products, "Out of Stock"
-    ),
-    "q35_delivery_by_ship_mode": lambda t: operations.delivery_days(t.shop.fact, "ship_mode"),
-    "q36_on_time": lambda t: operations.on_time(t.shop.placed_orders, DELIVERY_LIMITS),
-    "q37_shipping_share_by_order": lambda t: operations.shipping_share_by_order(t.shop.fact),
-    "q38_shipping_share": lambda t: operations.shipping_share(t.shop.fact),
-    "q39_delivery_by_priority": lambda t: operations.delivery_days(
-        t.shop.fact, "order_priority"
-    ),
-    "q40_revenue_by_country": lambda t: regions.revenue_by_country(t.shop.fact),
-    "q41_country_shares": lambda t: regions.country_shares(t.shop.fact),
-    "q42_country_growth": lambda t: regions.country_growth(t.shop.fact),
-    "q43_country_margins": lambda t: regions.country_margins(t.shop.fact),
-    "q44_manager_margins": lambda t: regions.manager_margins(t.shop.fact),
-    "q45_moving_average": lambda t: time_series.moving_average(t.shop.fact),
-    "q46_complete_quarters": lambda t: time_series.complete_quarters(
-        t.shop.fact, PARTIAL_QUARTERS
-    ),
-    "q47_same_month_last_year": lambda t: time_series.same_month_last_year(
-        t.shop.fact, star.calendar_of(t.shop.fact)
+        _business("q10_signups_by_month")(t), "signup_year", "signup_month"
     ),
     "q48_avg_monthly_growth": lambda t: _rounded(
-        time_series.average_monthly_growth(t.shop.fact), "avg_monthly_growth_pct"
+        _business("q48_avg_monthly_growth")(t), "avg_monthly_growth_pct"
     ),
     "q49_avg_quarterly_growth": lambda t: _rounded(
-        time_series.average_quarterly_growth(t.shop.fact), "avg_quarterly_growth_pct"
-    ),
-    "r01_payment_methods": lambda t: operations.payment_methods(t.shop.fact),
-    "r02_revenue_tree": lambda t: regions.revenue_tree(t.shop.fact),
-    "r03_top_five": lambda t: products.extreme_products(t.shop.fact, t.shop.products, 5),
-    "r03_bottom_five": lambda t: products.extreme_products(
-        t.shop.fact, t.shop.products, 5, best=False
-    ),
-    "r03_stock_alerts": lambda t: products.stock_alerts(t.shop.fact, t.shop.products),
-    "r04_shipping_by_mode": lambda t: operations.shipping_by_mode(t.shop.fact),
-    "r05_rfm": lambda t: customers.rfm(t.shop.fact),
-    "r06_cohorts": lambda t: customers.cohort_retention(t.shop.fact),
+        _business("q49_avg_quarterly_growth")(t), "avg_quarterly_growth_pct"
+    ),
 }
 
 AUDITS: dict[str, Question] = {

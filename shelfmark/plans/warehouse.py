@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfmark.operators.star import build_fact_sales, dim_date
 from shelfmark.plans import cleaning
+from shelfmark.plans.questions import QUESTIONS, Parameters
 from shelfmark.sources import schemas, tables
 
 
@@ -42,6 +45,28 @@ def build_warehouse(spark: SparkSession, raw_folder: str, target: str) -> None:
     tables.write_table(dim_date(spark), f"{target}/dim_date")
 
 
+@dataclass(frozen=True)
+class Opened:
+    """A written warehouse under the names the business questions use."""
+
+    fact: DataFrame
+    customers: DataFrame
+    products: DataFrame
+    orders: DataFrame
+    calendar: DataFrame
+
+
+def ask_all(
+    tables_: dict[str, DataFrame], parameters: Parameters = Parameters()
+) -> dict[str, DataFrame]:
+    """The answers to all business questions over an opened warehouse, by name."""
+    opened = Opened(
+        fact=tables_["fact_sales"], calendar=tables_["dim_date"],
+        **{name: tables_[name] for name in ("customers", "products", "orders")},
+    )
+    return {name: question(opened, parameters) for name, question in QUESTIONS.items()}
+
+
 def open_warehouse(
     spark: SparkSession, target: str, names: tuple[str, ...] = tuple(schemas.WAREHOUSE)
 ) -> dict[str, DataFrame]:

@@ -7,7 +7,9 @@ from decimal import Decimal
 import pytest
 
 from shelfmark.operators import star
-from shelfmark.plans import customers, products, revenue, time_series, warehouse
+from shelfmark.plans import customers, products, profiling, revenue, time_series, warehouse
+from shelfmark.plans.questions import QUESTIONS
+from shelfmark.sources import schemas, tables
 
 FILES = {
     "regions": """region_id,country,region_name,manager
@@ -40,10 +42,15 @@ L5,O3,P2,1,0.10,0.21,10.89,
 
 
 @pytest.fixture(scope="module")
-def shop(spark, tmp_path_factory):
-    folder = tmp_path_factory.mktemp("flow")
+def folder(tmp_path_factory):
+    path = tmp_path_factory.mktemp("flow")
     for name, text in FILES.items():
-        (folder / f"{name}.csv").write_text(text)
+        (path / f"{name}.csv").write_text(text)
+    return path
+
+
+@pytest.fixture(scope="module")
+def shop(spark, folder):
     warehouse.build_warehouse(spark, str(folder), str(folder / "target"))
     return warehouse.open_warehouse(spark, str(folder / "target"))
 
@@ -78,3 +85,26 @@ def test_from_files_to_answers(shop):
     assert [(r.year, r.month, r.same_month_last_year) for r in months] == [
         (2023, 3, None), (2024, 3, Decimal("145.20")), (2024, 4, None),
     ]
+
+
+def test_every_question_runs_with_the_original_parameters(shop):
+    answers = warehouse.ask_all(shop)
+    assert len(QUESTIONS) == 57 and answers.keys() == QUESTIONS.keys()
+    for df in answers.values():
+        df.collect()
+    assert answers["q01_revenue_by_year"].count() == 2
+    assert answers["q28_lines_of_product"].count() == 0
+    status = {r.customer_status: r.customer_count for r in answers["q20_churn"].collect()}
+    assert status == {"Churned (180+ days)": 2}
+    assert answers["q36_on_time"].first().on_time_express == 3
+
+
+def test_profile_of_the_raw_files(spark, folder):
+    raw = {name: tables.load_raw(spark, str(folder), name) for name in schemas.RAW}
+    found = {name: df.collect() for name, df in profiling.profile_raw(raw).items()}
+    assert found["orders_without_customer"] == found["lines_without_product"] == []
+    assert tuple(found["profit_signs"][0]) == (3, 1, 2, 33.3, 66.7)
+    assert tuple(found["shared_emails"][0]) == (2, 1)
+    assert [(r.product_id, r.band) for r in found["extreme_prices"]] == []
+    assert found["prices"][0].median == 55.0
+    assert {r.column_name: r.null_count for r in found["nulls_order_details"]}["profit"] == 2
