@@ -163,7 +163,8 @@ def cleaning_report(
     """
 
     def nulls(df: DataFrame, columns: list[str]) -> Column:
-        return reduce(lambda a, b: a + b, (F.count_if(F.col(c).isNull()) for c in columns), F.lit(0))
+        gaps = (F.count_if(F.col(c).isNull()) for c in columns)
+        return reduce(lambda a, b: a + b, gaps, F.lit(0))
 
     def one(name: str, raw: DataFrame, clean: DataFrame, filled: list[str]) -> DataFrame:
         sides = [

@@ -74,9 +74,11 @@ def period_growth(fact: DataFrame, period: tuple[str, str], digits: int | None)
 
 
 def average_monthly_growth(fact: DataFrame) -> DataFrame:
-    return period_growth(fact, MONTH, None).agg(F.avg("growth_pct").alias("avg_monthly_growth_pct"))
+    growth = period_growth(fact, MONTH, None)
+    return growth.agg(F.avg("growth_pct").alias("avg_monthly_growth_pct"))
 
 
 def average_quarterly_growth(fact: DataFrame) -> DataFrame:
     """Each quarter's growth is rounded before the average is taken."""
-    return period_growth(fact, QUARTER, 2).agg(F.avg("growth_pct").alias("avg_quarterly_growth_pct"))
+    growth = period_growth(fact, QUARTER, 2)
+    return growth.agg(F.avg("growth_pct").alias("avg_quarterly_growth_pct"))

@@ -36,7 +36,8 @@ def test_churn_bounds(spark):
     today = date(2025, 11, 5)
     rows = [(n, today - timedelta(n)) for n in (30, 31, 90, 91, 180, 181)]
     fact = spark.createDataFrame(rows, "customer_id int, order_date date")
-    got = {r.customer_status: r.customer_count for r in customers.churn(fact, F.lit(today)).collect()}
+    counted = customers.churn(fact, F.lit(today)).collect()
+    got = {r.customer_status: r.customer_count for r in counted}
     assert got == {
         "Active (0-30 days)": 1, "Recent (30-90 days)": 2, "At Risk (90-180 days)": 2,
         "Churned (180+ days)": 1,
@@ -141,10 +142,9 @@ def test_top_and_bottom_are_ranked(shop):
 
 
 def test_revenue_tree_levels_agree(shop):
-    levels = {
-        r.level: r.s
-        for r in regions.revenue_tree(shop.fact).groupBy("level").agg(F.sum("total_revenue").alias("s")).collect()
-    }
+    tree = regions.revenue_tree(shop.fact)
+    summed = tree.groupBy("level").agg(F.sum("total_revenue").alias("s"))
+    levels = {r.level: r.s for r in summed.collect()}
     assert set(levels) == {0, 1, 3, 7} and len(set(levels.values())) == 1
 
 
