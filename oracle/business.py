@@ -139,6 +139,7 @@ select case when discount = 0 then 'No Discount' when discount <= 0.03 then '1-3
             when discount <= 0.07 then '4-7%' when discount <= 0.10 then '8-10%' end
          as discount_range,
        count(*) as line_count, {mean("quantity")} as avg_quantity,
+       cast(sum(quantity) // count(quantity) as bigint) as whole_quantity,
        {mean("revenue")} as avg_revenue, {MARGIN} as profit_margin_pct
 from fact where discount >= 0 group by discount_range"""),
     "q20_churn": over_fact("""

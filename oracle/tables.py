@@ -21,7 +21,7 @@ def picked(table: str, *columns: str) -> str:
 def profile(column: str, table: str, *percentiles: str) -> str:
     extra = "".join(f", {p}" for p in percentiles)
     return over_raw(f"""
-select count({column}) as value_count, {{low}}(min({column})) as minimum,
+select count(*) as row_count, count({column}) as value_count, {{low}}(min({column})) as minimum,
        {{low}}(max({column})) as maximum,
        cast(sum({column}) as double) / count({column}) as average,
        round(stddev_samp(cast({column} as double)), 6) as deviation{extra}
@@ -91,6 +91,7 @@ select cast(min(order_date) as varchar) as earliest_order,
     "aud07_age_profile": profile(
         "age",
         "raw_customers",
+        "cast(sum(age) // count(age) as bigint) as whole_average",
         "quantile_cont(age, 0.25) as q1",
         "quantile_cont(age, 0.5) as median",
         "quantile_cont(age, 0.75) as q3",

@@ -20,6 +20,12 @@ def mean(column: str | Column) -> Column:
     return F.try_divide(total(column), F.count(column).cast("double"))
 
 
+def whole_mean(column: str | Column) -> Column:
+    """Average of whole numbers without its fraction, as an integer AVG gives it."""
+    counted = F.nullif(F.count(column), F.lit(0))
+    return F.call_function("div", F.sum(column), counted)
+
+
 def mean_over(column: str, frame: WindowSpec) -> Column:
     """:func:`mean` over a window frame."""
     return F.try_divide(

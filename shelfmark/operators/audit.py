@@ -6,8 +6,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from shelfmark.functions.measures import margin_percent, mean, percent
+from shelfmark.functions.measures import margin_percent, mean, percent, whole_mean
 from shelfmark.operators.ranking import exact_percentiles
 
 # What the audits report, and the prices that count as extreme.
@@ -37,19 +38,25 @@ def value_range(df: DataFrame, column: str, earliest: str, latest: str) -> DataF
     return df.agg(F.min(column).alias(earliest), F.max(column).alias(latest))
 
 
-def _statistics(column: str) -> list[Column]:
+def _statistics(df: DataFrame, column: str) -> list[Column]:
+    whole = isinstance(df.schema[column].dataType, IntegralType)
     return [
+        F.count("*").alias("row_count"),
         F.count(column).alias("value_count"),
         F.min(column).alias("minimum"),
         F.max(column).alias("maximum"),
         mean(column).alias("average"),
+        *([whole_mean(column).alias("whole_average")] if whole else []),
         F.stddev_samp(F.col(column).cast("double")).alias("deviation"),
     ]
 
 
 def profile(df: DataFrame, column: str) -> DataFrame:
-    """Count, minimum, maximum, average and sample deviation of the values."""
-    return df.agg(*_statistics(column))
+    """Counts, minimum, maximum, average and sample deviation of the values.
+
+    Whole numbers also get the average without its fraction.
+    """
+    return df.agg(*_statistics(df, column))
 
 
 def profile_with_percentiles(
@@ -63,7 +70,7 @@ def profile_with_percentiles(
     """
     if few_values:
         ranks = (F.percentile(F.col(column), F.lit(p)).alias(n) for n, p in percentiles.items())
-        return df.agg(*_statistics(column), *ranks)
+        return df.agg(*_statistics(df, column), *ranks)
     placed = exact_percentiles(df, column, percentiles).select(F.struct("*")).scalar()
     return profile(df, column).withColumn("placed", placed).select("*", "placed.*").drop("placed")
 

@@ -7,7 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.functions.measures import margin_percent, mean, percent, percent_of_all, ratio
+from shelfmark.functions.measures import (
+    margin_percent,
+    mean,
+    percent,
+    percent_of_all,
+    ratio,
+    whole_mean,
+)
 from shelfmark.operators.ranking import ntile
 
 # Upper bounds of the discount and churn classes, with their labels.
@@ -135,6 +142,7 @@ def discount_effect(
         .agg(
             F.count("*").alias("line_count"),
             mean("quantity").alias("avg_quantity"),
+            whole_mean("quantity").alias("whole_quantity"),
             mean("revenue").alias("avg_revenue"),
             margin_percent().alias("profit_margin_pct"),
         )

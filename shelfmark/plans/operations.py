@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.functions.measures import mean, percent, percent_of_all
+from shelfmark.functions.measures import mean, percent, percent_of_all, whole_mean
 
 # Days within which an order of each ship mode is on time.
 DELIVERY_LIMITS = {"Overnight": 1, "Express": 3, "Standard": 10, "Economy": 14}
@@ -14,16 +14,13 @@ DELIVERY_LIMITS = {"Overnight": 1, "Express": 3, "Standard": 10, "Economy": 14}
 def delivery_days(fact: DataFrame, key: str) -> DataFrame:
     """Average delivery days of the lines by ``key``.
 
-    The exact average, and the whole days that integer division leaves.
+    The exact average, and its whole days.
     """
-    days = F.col("delivery_time_days")
     return (
         fact.groupBy(key)
         .agg(
             mean("delivery_time_days").alias("avg_delivery_days"),
-            F.call_function("div", F.sum(days), F.nullif(F.count(days), F.lit(0))).alias(
-                "whole_delivery_days"
-            ),
+            whole_mean("delivery_time_days").alias("whole_delivery_days"),
         )
         .orderBy("avg_delivery_days")
     )

@@ -33,11 +33,19 @@ def test_profile(numbers, few_values):
     row = audit.profile_with_percentiles(
         numbers, "value", {"q1": 0.25, "median": 0.5}, few_values
     ).first()
+    assert row.row_count == 5 and "whole_average" not in row
     assert (row.value_count, row.minimum, row.maximum) == (4, D("-2.00"), D("6.00"))
     assert row.average == 2.0 and row.deviation == pytest.approx((40 / 3) ** 0.5)
     assert (row.q1, row.median) == (-0.5, 2.0)
 
 
+def test_whole_average_drops_the_fraction(spark):
+    ages = spark.createDataFrame([(1,), (2,), (2,), (None,)], "age int")
+    row = audit.profile(ages, "age").first()
+    assert (row.row_count, row.value_count, row.whole_average) == (4, 3, 1)
+    assert row.average == 5 / 3
+
+
 def test_zero_has_no_sign(numbers):
     assert tuple(audit.sign_split(numbers, "value").first()) == (4, 1, 2, 25.0, 50.0)
 
