@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import simhash
+from shelfmark.llm import simhash, suffixes
 from shelfmark.llm.common import DOCUMENTS, table
 from shelfmark.llm.ship import ship
 
@@ -18,6 +18,14 @@ def op3_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("fingerprint", simhash.hex_digits("fingerprint"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes left of every document without strings of 50 bytes from smaller ids."""
+    docs = table(spark, folder, "documents", DOCUMENTS).select("doc_id", "text")
+    return suffixes.remove_repeats(docs).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def shipped(query: Callable[[SparkSession, str], DataFrame]):
     """``query`` after bringing the package to the workers."""
 
@@ -29,7 +37,7 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: shipped(f) for f in (op3_simhash_near_dedup,)
+    f.__name__: shipped(f) for f in (op3_simhash_near_dedup, op6_suffix_array_dedup)
 }
 
 ORACLES: dict[str, str] = {}
