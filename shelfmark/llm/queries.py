@@ -7,11 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import simhash, suffixes
-from shelfmark.llm.common import DOCUMENTS, table
+from shelfmark.llm import quality, simhash, suffixes
+from shelfmark.llm.common import DOCUMENTS, LABELS, table
 from shelfmark.llm.ship import ship
 
 
+def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts, base rules and the line field's verdict on every document."""
+    docs = table(spark, folder, "documents", DOCUMENTS)
+    field = quality.train_lines(docs, table(spark, folder, "labels", LABELS))
+    return quality.judge(docs, field)
+
+
 def op3_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document: three-word shingles, two bits."""
     found = simhash.components(table(spark, folder, "documents", DOCUMENTS), 3, 2)
@@ -37,7 +44,7 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: shipped(f) for f in (op3_simhash_near_dedup, op6_suffix_array_dedup)
+    f.__name__: shipped(f) for f in (op1_quality_rules, op3_simhash_near_dedup, op6_suffix_array_dedup)
 }
 
 ORACLES: dict[str, str] = {}
