@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import quality, simhash, suffixes
+from shelfmark.llm import mixing, packing, quality, simhash, suffixes
 from shelfmark.llm.common import DOCUMENTS, LABELS, table
 from shelfmark.llm.ship import ship
 
@@ -19,6 +19,11 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(docs, field)
 
 
+def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's pieces in sequences of up to 4096 tokens."""
+    return packing.pack_documents(table(spark, folder, "documents", DOCUMENTS))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document: three-word shingles, two bits."""
     found = simhash.components(table(spark, folder, "documents", DOCUMENTS), 3, 2)
@@ -33,6 +38,11 @@ def op6_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each document is taken for a mix of four fifths of all tokens."""
+    return mixing.choose(table(spark, folder, "documents", DOCUMENTS))
+
+
 def shipped(query: Callable[[SparkSession, str], DataFrame]):
     """``query`` after bringing the package to the workers."""
 
@@ -44,7 +54,10 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: shipped(f) for f in (op1_quality_rules, op3_simhash_near_dedup, op6_suffix_array_dedup)
+    f.__name__: shipped(f)
+    for f in (
+        op1_quality_rules, op2_packing, op3_simhash_near_dedup, op6_suffix_array_dedup, op9_mixing,
+    )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_mixing": mixing.oracle()}
