@@ -151,6 +151,15 @@ def choose(
     )
 
 
+def mix_documents(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that ``choose`` takes, each as often as it says."""
+    copies = choose(docs, **options).filter("copies > 0").select("doc_id", "copies").distinct()
+    copies = settle(copies.withColumnRenamed("doc_id", "taken_id"), "mixing_taken")
+    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("taken_id")))
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("time")
+    return taken.select(*docs.columns, times).drop("time")
+
+
 def oracle(
     percent: int = BUDGET_PERCENT, epochs: int = EPOCHS, seed: int = SEED, weights: dict = WEIGHTS
 ) -> str:

@@ -162,48 +162,72 @@ def train_lines(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> crf
     return crf.train(np.concatenate(slots).astype(np.int64), label, lengths, N_FEATURES)
 
 
+NAMES = (
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines",
+    "n_content_lines",
+)
+
+
+def judged(
+    texts: list[bytes], field: crf.Field | None, content_share: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Counts (a column for each of ``NAMES``), content share, base failed, kept."""
+    counts, numbers, flags, sizes, lengths = [], [], [], [], []
+    for raw in texts:
+        words = raw.split()
+        n, f, s, repeated = lines_of(raw)
+        counts.append((
+            len(words), len(b"".join(words).decode()), len(raw) - len(raw.translate(None, SYMBOLS)),
+            repeated, repeated_words(words), len(n),
+        ))
+        numbers += n
+        flags += f
+        sizes += s
+        lengths.append(len(n))
+    lengths = np.array(lengths, np.int64)
+    label = np.ones(len(numbers), np.int64)
+    if field is not None and numbers:
+        slots = line_features(np.array(numbers), np.array(flags, np.int64))
+        label = crf.viterbi(field, slots, lengths)
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    held = np.array(sizes, np.float64)
+    content = np.bincount(owner, held * label, len(lengths))
+    share = content / np.maximum(np.bincount(owner, held, len(lengths)), 1)
+    lines = np.bincount(owner, label, len(lengths)).astype(np.int64)
+    table = np.c_[np.array(counts, np.int64).reshape(len(lengths), -1), lines]
+    failed = (table[:, 0] < LEAST_WORDS) | (100 * table[:, 4] > MOST_REPEATED * table[:, 0])
+    return table, share, failed, ~failed & (share >= content_share)
+
+
 def judge(
     docs: DataFrame, field: crf.Field | None, content_share: float = CONTENT_SHARE
 ) -> DataFrame:
     """Base counts and verdict for each row of ``docs`` (doc_id, text)."""
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-             "n_lines", "n_content_lines")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "text"):
-            counts, numbers, flags, sizes, lengths = [], [], [], [], []
-            for raw in utf8(part.column("text")):
-                words = raw.split()
-                joined = b"".join(words)
-                n, f, s, repeated = lines_of(raw)
-                counts.append((
-                    len(words), len(joined.decode()), len(raw) - len(raw.translate(None, SYMBOLS)),
-                    repeated, repeated_words(words), len(n),
-                ))
-                numbers += n
-                flags += f
-                sizes += s
-                lengths.append(len(n))
-            lengths = np.array(lengths, np.int64)
-            label = np.ones(len(numbers), np.int64)
-            if field is not None and numbers:
-                slots = line_features(np.array(numbers), np.array(flags, np.int64))
-                label = crf.viterbi(field, slots, lengths)
-            owner = np.repeat(np.arange(len(lengths)), lengths)
-            held = np.array(sizes, np.float64)
-            content = np.bincount(owner, held * label, len(lengths))
-            share = content / np.maximum(np.bincount(owner, held, len(lengths)), 1)
-            table = np.array(counts, np.int64).reshape(len(lengths), -1)
-            table = np.c_[table, np.bincount(owner, label, len(lengths)).astype(np.int64)]
-            failed = (table[:, 0] < LEAST_WORDS) | (100 * table[:, 4] > MOST_REPEATED * table[:, 0])
+            table, share, failed, kept = judged(utf8(part.column("text")), field, content_share)
             columns = {"doc_id": part.column("doc_id")}
-            columns |= {name: pa.array(table[:, i]) for i, name in enumerate(names)}
+            columns |= {name: pa.array(table[:, i]) for i, name in enumerate(NAMES)}
             columns |= {
                 "content_share": pa.array(share), "base_failed": pa.array(failed),
-                "kept": pa.array(~failed & (share >= content_share)),
+                "kept": pa.array(kept),
             }
             yield pa.record_batch(columns)
 
-    schema = "doc_id long, " + ", ".join(f"{n} long" for n in names)
+    schema = "doc_id long, " + ", ".join(f"{n} long" for n in NAMES)
     schema += ", content_share double, base_failed boolean, kept boolean"
     return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def keep(
+    docs: DataFrame, field: crf.Field | None, content_share: float = CONTENT_SHARE
+) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, "text"):
+            *_, kept = judged(utf8(part.column("text")), field, content_share)
+            yield part.filter(pa.array(kept))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -285,6 +285,18 @@ def components(
     return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
+def keep_first(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
+    """One row of ``docs`` for each component: the one of the smallest id.
+
+    Rows without an id stay: nothing tells them apart.
+    """
+    found = components(docs, shingle, radius)
+    first = found.filter("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(settle(first, "first_of_components"), "doc_id", "left_semi")
+    kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.filter("doc_id is null"))
+
+
 def hex_digits(fingerprint) -> F.Column:
     """16 lowercase hex digits of a long column."""
     return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))
