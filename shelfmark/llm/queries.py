@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import mixing, packing, quality, simhash, suffixes
+from shelfmark.llm import classifier, lm, mixing, packing, quality, simhash, suffixes
 from shelfmark.llm.common import DOCUMENTS, LABELS, table
 from shelfmark.llm.ship import ship
 
@@ -38,6 +38,17 @@ def op6_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of every document by a Kneser-Ney model of those not held out."""
+    return lm.score(table(spark, folder, "documents", DOCUMENTS))
+
+
+def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality scores of every document, learned from those not held out."""
+    docs = table(spark, folder, "documents", DOCUMENTS)
+    return classifier.score(docs, classifier.train(docs, table(spark, folder, "labels", LABELS)))
+
+
 def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """How often each document is taken for a mix of four fifths of all tokens."""
     return mixing.choose(table(spark, folder, "documents", DOCUMENTS))
@@ -56,7 +67,8 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: shipped(f)
     for f in (
-        op1_quality_rules, op2_packing, op3_simhash_near_dedup, op6_suffix_array_dedup, op9_mixing,
+        op1_quality_rules, op2_packing, op3_simhash_near_dedup, op6_suffix_array_dedup, op7_lm_scoring,
+        op8_quality_classifier, op9_mixing,
     )
 }
 
