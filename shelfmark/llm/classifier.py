@@ -32,7 +32,7 @@ SAMPLE = 6000
 FOLDS, HELD_OUT = 5, 0
 PREDICT_FROM = 0.3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.05, 0.5
-TURNS = 3
+TURNS = 8
 SAME = np.uint64(0x5851F42D4C957F2D)
 STREAMS = [np.uint64(x) for x in (11, 13, 17, 19)]
 SHAPES = bytes(
@@ -126,7 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarra
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # `sample` rows
     rows = rows.mapInArrow(sparse, "doc_id long, quality int, slots binary, amounts binary")
     rows = rows.dropDuplicates(["doc_id"])
-    found = rows.groupBy(F.lit(0)).applyInArrow(fit, "weights binary").collect()
+    found = rows.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(fit, "weights binary").collect()
     if not found:
         return np.zeros((1 << BITS) + 1, np.float32)
     return np.frombuffer(found[0].weights, np.float32)

@@ -7,8 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import classifier, lm, mixing, packing, quality, simhash, suffixes
-from shelfmark.llm.common import DOCUMENTS, LABELS, table
+from shelfmark.llm import (
+    classifier,
+    html,
+    lm,
+    mixing,
+    packing,
+    prefixhash,
+    quality,
+    simhash,
+    suffixes,
+    urls,
+)
+from shelfmark.llm.common import DOCUMENTS, LABELS, PAGES, table
 from shelfmark.llm.ship import ship
 
 
@@ -30,6 +41,16 @@ def op3_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("fingerprint", simhash.hex_digits("fingerprint"))
 
 
+def op4_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and their likeness."""
+    return prefixhash.compare_with_next(table(spark, folder, "documents", DOCUMENTS))
+
+
+def op5_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    """Rule and verdict of every page's URL."""
+    return urls.judge(table(spark, folder, "pages", PAGES))
+
+
 def op6_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Bytes left of every document without strings of 50 bytes from smaller ids."""
     docs = table(spark, folder, "documents", DOCUMENTS).select("doc_id", "text")
@@ -54,6 +75,11 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.choose(table(spark, folder, "documents", DOCUMENTS))
 
 
+def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page."""
+    return html.extract(table(spark, folder, "pages", PAGES))
+
+
 def shipped(query: Callable[[SparkSession, str], DataFrame]):
     """``query`` after bringing the package to the workers."""
 
@@ -67,9 +93,10 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: shipped(f)
     for f in (
-        op1_quality_rules, op2_packing, op3_simhash_near_dedup, op6_suffix_array_dedup, op7_lm_scoring,
-        op8_quality_classifier, op9_mixing,
+        op1_quality_rules, op2_packing, op3_simhash_near_dedup, op4_document_fingerprints,
+        op5_url_filters, op6_suffix_array_dedup, op7_lm_scoring, op8_quality_classifier,
+        op9_mixing, op10_html_extraction,
     )
 }
 
-ORACLES: dict[str, str] = {"op9_mixing": mixing.oracle()}
+ORACLES: dict[str, str] = {"op5_url_filters": urls.oracle(), "op9_mixing": mixing.oracle()}
