@@ -12,7 +12,7 @@ of equal tokens, those of many pieces first, so that groups hold about as many p
 Tasks work through their documents in blocks of about ``BLOCK_TOKENS`` tokens, with no
 shuffle; a sequence's id holds its partition and its number there.
 
-Words between white space are encoded on their own, each different one of a chunk once:
+Words between white space are encoded on their own, each different one once in a long while:
 the tokenizer's own splitting never joins across white space. Words of plain letters go
 to its vocabulary directly, all others through its whole pipeline.
 
@@ -24,7 +24,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, count, islice
 
 import numpy as np
 import public_tokenizers
@@ -39,10 +41,10 @@ TIERS = (512, 1024, 2048, 4096)
 END_ID = 2
 BLOCK_TOKENS = 1 << 20
 STEP_TOKENS = 1 << 16
-#: Words whose ids a task keeps at a time.
-CACHED_WORDS = 200_000
+#: Words whose ids a task keeps, give or take those of a chunk.
+CACHED_WORDS = 400_000
 
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
 def byte_letters() -> dict[int, str]:
@@ -60,29 +62,29 @@ class Encoder:
         self.model = self.tokenizer.model
         self.letters = byte_letters()
         self.known: dict[str, list[int]] = {}
+        self.forget()
 
     def part(self, lowered: str) -> list[int]:
-        found = self.known.get(lowered)
-        if found is None:
-            if len(self.known) >= CACHED_WORDS:
-                self.known.clear()
-            raw = lowered
-            if not lowered.isascii():
-                raw = "".join(map(self.letters.__getitem__, lowered.encode()))
-            found = self.known[lowered] = [t.id for t in self.model.tokenize(raw)]
+        raw = lowered
+        if not lowered.isascii():
+            raw = "".join(map(self.letters.__getitem__, lowered.encode()))
+        found = self.known[lowered] = [t.id for t in self.model.tokenize(raw)]
         return found
 
     def words(self, words: list[bytes]) -> list[list[int]]:
         """The ids of each word."""
+        if len(self.known) >= CACHED_WORDS:
+            self.known.clear()
+        known, marks = self.known, {m: self.part(m) for m in ".,"}
         out: list[list[int] | None] = []
         others, places = [], []
-        for word in words:
-            text = word.decode()
-            plain = PLAIN.fullmatch(text)
-            if plain:
-                core, mark = plain.groups()
-                ids = self.part(core.lower())
-                out.append(ids + self.part(mark) if mark else ids)
+        for text in b" ".join(words).decode().split(" ") if words else ():
+            mark = marks.get(text[-1])
+            core = text[:-1] if mark else text
+            if core.isascii() and core.isalpha() or PLAIN.fullmatch(core):
+                core = core.lower()
+                ids = known.get(core) or self.part(core)
+                out.append(ids + mark if mark else ids)
             else:
                 places.append(len(out))
                 others.append(text)
@@ -94,23 +96,31 @@ class Encoder:
 
     def texts(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, with ``end`` after each text; and each text's number of ids."""
-        number: dict[bytes, int] = {}
-        sizes, owner = [], []
+        if len(self.number) > CACHED_WORDS:
+            self.forget()
+        before, at, sizes = len(self.number), [], []
         for raw in texts:
             words = raw.split()
-            owner += [number.setdefault(w, len(number)) for w in words]
-            owner.append(-1)
+            at.extend(map(self.number.__getitem__, words))
+            at.append(-1)
             sizes.append(len(words) + 1)
-        ids = [*self.words(list(number)), [end]]
-        length = np.array([len(x) for x in ids])
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(length.sum()))
-        start = np.cumsum(length) - length
-        at = np.array(owner)
+        new = self.words(list(islice(self.number, before, None)))
+        many = np.fromiter(map(len, new), np.int64, len(new))
+        self.flat = np.r_[self.flat, np.fromiter(chain.from_iterable(new), np.uint32, int(many.sum()))]
+        self.length = np.r_[self.length, many]
+        # the last word of all is the end
+        length = np.r_[self.length, 1]
+        flat, start = np.r_[self.flat, np.uint32(end)], np.cumsum(length) - length
+        at = np.fromiter(at, np.int64, len(at))
         many = length[at]
         upto = np.cumsum(many)
         take = np.repeat(start[at] - (upto - many), many) + np.arange(int(many.sum()))
-        last = np.cumsum(sizes) - 1
-        return flat[take], np.diff(np.r_[0, upto[last]])
+        return flat[take], np.diff(np.r_[0, upto[np.cumsum(sizes) - 1]])
+
+    def forget(self) -> None:
+        """Drop all words that were seen."""
+        self.number: dict[bytes, int] = defaultdict(count().__next__)
+        self.flat, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
 
 class Stock:
