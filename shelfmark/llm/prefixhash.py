@@ -39,10 +39,22 @@ PRIMES = (2147483647, 2147483629)
 BASES = (1000003, 998244353)
 GROWTH = 1.15
 SPAN = 16
+LONGEST = 1 << 31  # characters; Spark's strings have fewer
 SKETCH = 48
 DIGITS = 6
 
 
+def growing(most: int) -> np.ndarray:
+    out, x = [], 1.0
+    while x <= most:
+        out.append(int(x))
+        x = max(x * GROWTH, int(x) + 1)
+    return np.array(out, np.int64)
+
+
+ALL_STEPS = growing(LONGEST)
+
+
 class Powers:
     """Powers of the bases and of their inverses, as far as they were asked for."""
 
@@ -79,13 +91,25 @@ class Prefixes:
         return mix(parts[0] << np.uint64(31) | parts[1])
 
 
+    def short_spans(self, size: int) -> np.ndarray:
+        """A hash of the span of ``size`` characters from each position, by one prime."""
+        prime, sums = np.uint64(PRIMES[0]), self.sums[0]
+        found = (sums[size:] + prime - sums[:-size]) % prime
+        return mix(found * self.powers.down[0][: len(found)] % prime)
+
+
+def least(values: np.ndarray, count: int) -> np.ndarray:
+    """The ``count`` least different values, in order."""
+    if len(values) > 8 * count:
+        few = np.unique(np.partition(values, 4 * count)[: 4 * count])
+        if len(few) >= count:
+            return few[:count]
+    return np.unique(values)[:count]
+
+
 def steps(n: int) -> np.ndarray:
     """Lengths up to ``n`` that grow by ``GROWTH``, the same for all texts."""
-    out, x = [], 1.0
-    while x <= n:
-        out.append(int(x))
-        x = max(x * GROWTH, int(x) + 1)
-    return np.array(out, np.int64)
+    return ALL_STEPS[: int(np.searchsorted(ALL_STEPS, n, side="right"))]
 
 
 def fingerprint(text: str, powers: Powers) -> str:
@@ -98,10 +122,10 @@ def fingerprint(text: str, powers: Powers) -> str:
     short = np.uint64(64 - 4 * DIGITS)
     ahead = arrays.spans(np.zeros_like(at), at) >> short
     behind = arrays.spans(n - at, np.full_like(at, n)) >> short
-    begin = np.arange(max(0, n - SPAN + 1))
-    least = np.unique(arrays.spans(begin, begin + SPAN) >> short)[:SKETCH]
+    spans = arrays.short_spans(SPAN) if n >= SPAN else np.zeros(0, np.uint64)
+    sketch = least(spans >> short, SKETCH)
     written = lambda xs: "".join(f"{x:0{DIGITS}x}" for x in xs.tolist())
-    return f"{n:x}.{whole:016x}.{written(ahead)}.{written(behind)}.{written(least)}"
+    return f"{n:x}.{whole:016x}.{written(ahead)}.{written(behind)}.{written(sketch)}"
 
 
 def common(a: str, b: str) -> int:
@@ -133,8 +157,8 @@ def likeness(one: str, two: str) -> float:
     shared = min(reach, min(n, m)) / max(n, m)
     cut = lambda x: {x[i : i + DIGITS] for i in range(0, len(x), DIGITS)}
     left, right = cut(a[4]), cut(b[4])
-    least = sorted(left | right)[:SKETCH]
-    alike = sum(x in left and x in right for x in least) / len(least) if least else 0.0
+    lowest = sorted(left | right)[:SKETCH]
+    alike = sum(x in left and x in right for x in lowest) / max(1, len(lowest))
     return min(max(shared, alike), 1 - 1 / (max(n, m) + 1))
 
 
