@@ -252,6 +252,21 @@ select cast(order_id as varchar) as order_id, cast(order_date as varchar) as ord
        ship_mode, payment_method, cast(delivery_time_days as double) as delivery_time_days,
        cast(shipping_cost as double) as shipping_cost, order_priority
 from raw_orders"""),
+    "src04_float_written_integers": over_raw("""
+select cast(order_id as varchar) as order_id, cast(order_date as varchar) as order_date,
+       cast(customer_id as varchar) as customer_id, cast(region_id as varchar) as region_id,
+       ship_mode, payment_method, cast(delivery_time_days as double) as delivery_time_days,
+       cast(shipping_cost as double) as shipping_cost, order_priority
+from raw_orders"""),
+    "src05_reordered_header": picked(
+        "region_mapping",
+        "cast(old_region_id as varchar) as old_region_id",
+        "cast(new_region_id as varchar) as new_region_id",
+    ),
+    "snk03_customers_csv": over_raw("""
+select cast(customer_id as varchar) as customer_id, first_name, last_name, country, city, email,
+       cast(signup_date as varchar) as signup_date, loyalty_status, cast(age as double) as age
+from raw_customers"""),
     "src02_quoted_csv": over_raw(f"""
 select cast(product_id as varchar) as product_id, product_name || ', 12"' as product_name,
        category, subcategory, {DECIMALS.format("unit_price")}, {DECIMALS.format("cost_price")},

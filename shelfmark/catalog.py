@@ -140,10 +140,17 @@ class Tables:
         self.raw = RawShop(spark, folder)
         self.cleaned = Cleaned(self.raw)
 
-    def written(self, df: DataFrame, name: str, schema: str, csv: bool) -> DataFrame:
-        """``df`` after a round trip through a file of the given schema."""
+    def written(
+        self, df: DataFrame, name: str, schema: str, csv: bool, kinds: bool = True
+    ) -> DataFrame:
+        """``df`` after a round trip through a file of the given schema.
+
+        Without ``kinds`` it is written in its own types and order of columns.
+        """
         path = new_table_path(self.spark, name)
-        shaped = df.select(*(F.col(f.name).cast(f.dataType) for f in schemas.struct(schema)))
+        shaped = df
+        if kinds:
+            shaped = df.select(*(F.col(f.name).cast(f.dataType) for f in schemas.struct(schema)))
         if csv:
             tables.write_csv(shaped, path)
             return tables.load_csv(self.spark, path, schema)[0]
@@ -349,6 +356,19 @@ FILES: dict[str, Question] = {
     "src03_mapping_scan": lambda t: t.written(
         t.cleaned.customer_mapping, "mapping_csv", schemas.CUSTOMER_MAPPING, csv=True
     ),
+    "src04_float_written_integers": lambda t: _gaps(
+        t.written(
+            t.raw.orders.withColumn("delivery_time_days", F.expr("cast(delivery_time_days as double)")),
+            "orders_csv", schemas.RAW["orders"], csv=True, kinds=False,
+        ), "delivery_time_days",
+    ),
+    "src05_reordered_header": lambda t: t.written(
+        t.cleaned.region_mapping.select("new_region_id", "old_region_id"),
+        "mapping_csv", schemas.REGION_MAPPING, csv=True, kinds=False,
+    ),
+    "snk03_customers_csv": lambda t: _gaps(
+        t.written(t.raw.customers, "customers_csv", schemas.RAW["customers"], csv=True), "age"
+    ),
     "snk01_cleaned_products": lambda t: t.written(
         t.cleaned.products, "products", schemas.PRODUCTS_CLEANED, csv=False
     ),

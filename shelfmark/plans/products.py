@@ -102,17 +102,18 @@ def loss_summary(fact: DataFrame) -> DataFrame:
 
 
 def lines_of_product(fact: DataFrame, products: DataFrame, product_id: object) -> DataFrame:
-    """All lines of one product, worst profit first.
+    """All lines of one product, worst profit first; none if the product is not known.
 
-    The product is one row, its key being unique, so it is broadcast: a shuffle on
-    the one id would bring all lines together.
+    Its name is looked up as one value, so the lines are neither joined nor shuffled by
+    the one id. Of several names for the id it is the first.
     """
     wanted = F.col("product_id") == product_id
-    name = products.filter(wanted).select("product_id", "product_name")
+    name = products.filter(wanted).agg(F.min("product_name")).scalar()
     return (
         fact.filter(wanted)
         .select("product_id", "order_id", "order_detail_id", "product_category", "profit")
-        .join(F.broadcast(name), "product_id")
+        .withColumn("product_name", name)
+        .filter("product_name is not null")
         .orderBy("profit", "order_id", "order_detail_id")
     )
 

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shelfmark.operators.star import build_fact_sales, dim_date
+from shelfmark.operators.star import build_fact_sales, calendar
 from shelfmark.plans import cleaning
 from shelfmark.plans.questions import QUESTIONS, Parameters
 from shelfmark.sources import schemas, tables
@@ -28,12 +31,26 @@ def clean_all(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
     }
 
 
-def build_warehouse(spark: SparkSession, raw_folder: str, target: str) -> None:
+def build_warehouse(
+    spark: SparkSession, raw_folder: str, target: str,
+    first_day: date | None = None, last_day: date | None = None,
+) -> None:
     """Load, clean and write everything below ``target``, replacing what is there.
 
-    The fact is built from the written tables, whose sizes Spark knows.
-    """
-    raw = {name: tables.load_raw(spark, raw_folder, name) for name in schemas.RAW}
+    The fact is built from the written tables, whose sizes Spark knows. The calendar goes
+    from the first to the last order of the fact, or over the days given. Fields of the
+    raw files that do not fit their types are NULL in the tables and rows of ``rejects``.
+    """
+    loaded = {
+        name: tables.load_csv(spark, f"{raw_folder}/{name}.csv", ddl)
+        for name, ddl in schemas.RAW.items()
+    }
+    raw = {name: rows for name, (rows, _) in loaded.items()}
+    rejects = [
+        found.select(F.lit(name).alias("table_name"), "column_name", "value")
+        for name, (_, found) in loaded.items()
+    ]
+    tables.write_table(reduce(DataFrame.unionByName, rejects), f"{target}/rejects")
     for name, df in clean_all(raw).items():
         tables.write_table(df, f"{target}/{name}")
     clean = open_warehouse(spark, target, tuple(schemas.CLEANED))
@@ -42,7 +59,12 @@ def build_warehouse(spark: SparkSession, raw_folder: str, target: str) -> None:
         clean["regions"],
     )
     tables.write_fact(fact, f"{target}/fact_sales")
-    tables.write_table(dim_date(spark), f"{target}/dim_date")
+    sold = open_warehouse(spark, target, ("fact_sales",))["fact_sales"]
+    days = sold.agg(
+        F.coalesce(F.lit(first_day), F.min("order_date")).alias("first_day"),
+        F.coalesce(F.lit(last_day), F.max("order_date")).alias("last_day"),
+    )
+    tables.write_table(calendar(days), f"{target}/dim_date")
 
 
 @dataclass(frozen=True)

@@ -74,7 +74,8 @@ DIM_DATE = (
     "month_year string, week_of_year int, day int, day_of_week int, day_name string, "
     "day_name_short string, is_weekend boolean, is_weekday boolean"
 )
-WAREHOUSE = {**CLEANED, "fact_sales": FACT_SALES, "dim_date": DIM_DATE}
+REJECTS = "table_name string, column_name string, value string"
+WAREHOUSE = {**CLEANED, "fact_sales": FACT_SALES, "dim_date": DIM_DATE, "rejects": REJECTS}
 
 
 def struct(ddl: str) -> StructType:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from uuid import uuid4
 
@@ -21,7 +22,7 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
     if _local_folder is None:
         _local_folder = tempfile.mkdtemp(prefix="shelfmark-")
@@ -44,3 +45,10 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     path = new_table_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables that this application settled; their DataFrames are lost."""
+    app = spark.conf.get("spark.app.id", "app")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/shelfmark/{app}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -2,51 +2,94 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, IntegralType, StringType
 
 from shelfmark.sources.schemas import RAW, struct
 from shelfmark.sources.shared import settle
 
 CORRUPT = "corrupt_record"
+#: What the parser calls an empty field without quotes; with quotes it is an empty text.
+ABSENT = "\1"
 
 
-def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """CSV with a header, a fixed schema and doubled inner quotes.
+def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """A CSV file or folder as text columns named by its header, with doubled inner quotes.
 
-    Rows that do not fit the schema are kept, with their text in
-    ``corrupt_record``.
+    A record with more fields than the header has its text in ``corrupt_record``. Values
+    may hold line breaks unless ``multi_line`` is off, which lets tasks share one file.
     """
+    reader = (
+        spark.read.option("header", True).option("quote", '"').option("escape", '"')
+        .option("multiLine", multi_line).option("nullValue", ABSENT).option("emptyValue", "")
+    )
+    names = reader.csv(path).columns
+    text = ", ".join(f"`{name}` string" for name in [*names, CORRUPT])
     return (
-        spark.read.schema(struct(f"{schema}, {CORRUPT} string"))
-        .option("header", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .csv(path)
-    )
-
-
-def load_csv(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """Rows that fit the schema, and the text of those that do not.
-
-    The file is parsed once, with all its columns, into a settled table. Spark
-    parses only the columns a query asks for, so straight from the file different
-    queries would find different rows corrupt.
+        reader.schema(struct(text)).option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", CORRUPT).csv(path)
+    )
+
+
+def typed(text: Column, kind: DataType) -> Column:
+    """Text as a value of ``kind``, NULL if it does not fit; 35.0 is the whole number 35."""
+    if isinstance(kind, StringType):
+        return text
+    value = F.nullif(F.trim(text), F.lit(""))
+    if isinstance(kind, IntegralType):
+        exact = value.try_cast("decimal(30,6)")
+        return F.when(exact == F.floor(exact), exact).try_cast(kind)
+    return value.try_cast(kind)
+
+
+def load_csv(
+    spark: SparkSession, path: str, schema: str, multi_line: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """All rows with the columns of ``schema``, and what did not fit: column_name, value.
+
+    Columns are found by the header's names, in any order; a missing one is an error. A
+    field that does not fit its type is NULL and one reject; of a record with too many
+    fields the whole text is a reject too. The file is parsed once, into a settled table:
+    Spark parses only the columns a query asks for, so straight from the file different
+    queries would find different records corrupt.
     """
-    loaded = settle(read_csv(spark, path, schema), "loaded")
-    fits = F.col(CORRUPT).isNull()
-    return loaded.filter(fits).drop(CORRUPT), loaded.filter(~fits).select(CORRUPT)
+    fields = struct(schema).fields
+    text = read_csv(spark, path, multi_line)
+    missing = [f.name for f in fields if f.name not in text.columns]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    text = settle(text.select(*(f.name for f in fields), CORRUPT), "loaded")
+    rows = text.select(*(typed(F.col(f.name), f.dataType).alias(f.name) for f in fields))
+    unfit = [
+        F.when(
+            F.trim(f.name).isNotNull() & (F.trim(f.name) != "")
+            & typed(F.col(f.name), f.dataType).isNull(),
+            F.struct(F.lit(f.name).alias("column_name"), F.col(f.name).alias("value")),
+        )
+        for f in fields
+    ]
+    whole = F.when(
+        F.col(CORRUPT).isNotNull(),
+        F.struct(F.lit(CORRUPT).alias("column_name"), F.col(CORRUPT).alias("value")),
+    )
+    found = text.select(F.explode(F.array_compact(F.array(*unfit, whole))).alias("reject"))
+    return rows, found.select("reject.*")
 
 
 def load_raw(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """One raw table of the retail model from ``folder/<table>.csv``."""
+    """One raw table of the retail model from ``folder/<table>.csv``, with all its rows."""
     return load_csv(spark, f"{folder}/{table}.csv", RAW[table])[0]
 
 
+def load_rejects(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """table_name, column_name, value of the fields of one raw table that do not fit."""
+    rejects = load_csv(spark, f"{folder}/{table}.csv", RAW[table])[1]
+    return rejects.select(F.lit(table).alias("table_name"), "column_name", "value")
+
+
 def load_mapping(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """An old-id/new-id table; it stays distributed."""
+    """An old-id/new-id table as ``write_mapping`` writes it; it stays distributed."""
     return load_csv(spark, path, schema)[0]
 
 
@@ -60,12 +103,20 @@ def write_table(df: DataFrame, path: str, *partition_by: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Replace the CSV table at ``path``: header, doubled inner quotes."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """Replace the CSV table at ``path``: header, doubled inner quotes, outer blanks kept.
+
+    NULL is an empty field, an empty text a pair of quotes.
+    """
+    (
+        df.write.mode("overwrite").option("header", True).option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+        .option("nullValue", "").option("emptyValue", '""').csv(path)
+    )
 
 
 def write_mapping(df: DataFrame, path: str) -> None:
-    write_table(df, path)
+    """Replace the old-id/new-id table at ``path``, in the format of ``load_mapping``."""
+    write_csv(df, path)
 
 
 def write_fact(fact: DataFrame, path: str) -> None:

@@ -59,7 +59,28 @@ def test_schemas_are_as_declared(shop):
     written = star.with_calendar_parts(shop["dim_date"].select("full_date"))
     assert written.dtypes == shop["dim_date"].dtypes
     assert sorted(shop["fact_sales"].columns) == sorted(star.FACT_COLUMNS)
-    assert shop["dim_date"].count() == 1826
+    assert shop["dim_date"].count() == 398  # 2023-03-01 to 2024-04-01
+    assert shop["rejects"].count() == 0
+
+
+def test_float_written_numbers_unfit_fields_and_other_column_orders(spark, tmp_path):
+    files = {k: v.replace(",30\n", ",30.0\n").replace(",2,10.00", ",2.0,10.00") for k, v in FILES.items()}
+    files["orders"] = files["orders"].replace("2024-03-01,C2", "2026-01-02,C2")
+    files["customers"] = files["customers"].replace("2022-05-01", "May 2022")
+    header, *rest = files["regions"].splitlines()
+    files["regions"] = "\n".join(
+        ",".join([x[2], x[0], x[3], x[1]]) for x in (r.split(",") for r in [header, *rest])
+    )
+    for name, text in files.items():
+        (tmp_path / f"{name}.csv").write_text(text)
+    warehouse.build_warehouse(spark, str(tmp_path), str(tmp_path / "target"))
+    shop = warehouse.open_warehouse(spark, str(tmp_path / "target"))
+    assert shop["fact_sales"].count() == 4
+    assert {r.region_name for r in shop["regions"].collect()} == {"Western Europe", "Central Europe"}
+    assert [tuple(r) for r in shop["rejects"].collect()] == [("customers", "signup_date", "May 2022")]
+    assert {r.age for r in shop["customers"].collect()} >= {50.0}
+    months = warehouse.ask_all(shop)["q47_same_month_last_year"].collect()
+    assert {(r.year, r.month) for r in months} == {(2023, 3), (2024, 4), (2026, 1)}
 
 
 def test_mappings_are_written(shop):

@@ -19,20 +19,28 @@ def test_csv_quotes_and_types(spark, tmp_path):
     assert (row.unit_price, row.cost_price) == (Decimal("10.50"), None)
 
 
-def test_rows_that_do_not_fit_are_kept_apart(spark, tmp_path):
+def test_every_row_is_loaded_and_unfit_fields_are_told(spark, tmp_path):
     path = tmp_path / "mapping.csv"
-    path.write_text("old_id,new_id\n1,2\nx,3\n")
-    fitted, corrupt = tables.load_csv(spark, str(path), "old_id int, new_id int")
-    assert (fitted.count(), corrupt.count()) == (1, 1)
-    assert [tuple(r) for r in fitted.collect()] == [(1, 2)]
-    assert [r[0] for r in corrupt.collect()] == ["x,3"]
+    path.write_text("new_id,old_id,more\n2,1,a\n3,x,b\n4.0,5.5,c\n6,7,d,e\n")
+    rows, rejects = tables.load_csv(spark, str(path), "old_id int, new_id int")
+    assert [tuple(r) for r in rows.collect()] == [(1, 2), (None, 3), (None, 4), (7, 6)]
+    assert sorted(map(tuple, rejects.collect())) == [
+        ("corrupt_record", "6,7,d,e"), ("old_id", "5.5"), ("old_id", "x"),
+    ]
+
+
+def test_a_missing_column_is_an_error(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("old_id\n1\n")
+    with pytest.raises(ValueError, match="new_id"):
+        tables.load_csv(spark, str(tmp_path / "m.csv"), "old_id int, new_id int")
 
 
 def test_csv_round_trip(spark, tmp_path):
-    df = spark.createDataFrame([("a", 'q"uo,te'), ("b", None)], schemas.CUSTOMER_MAPPING)
-    tables.write_csv(df, str(tmp_path / "m"))
+    rows = [("a", 'q"uo,te'), ("b", None), (" lead trail ", "two\nlines"), ("c", "")]
+    df = spark.createDataFrame(rows, schemas.CUSTOMER_MAPPING)
+    tables.write_mapping(df, str(tmp_path / "m"))
     back = tables.load_mapping(spark, str(tmp_path / "m"), schemas.CUSTOMER_MAPPING)
-    assert sorted(map(tuple, back.collect())) == [("a", 'q"uo,te'), ("b", None)]
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(rows, key=str)
 
 
 def test_every_schema_parses():
@@ -59,8 +67,9 @@ def test_a_local_session_may_do_without():
 
 
 def test_a_cluster_without_shared_folder_is_refused():
-    with pytest.raises(RuntimeError):
-        shared.shared_folder(Session(master="yarn"))
+    for master in ("yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            shared.shared_folder(Session(master=master))
 
 
 def test_settled_table_keeps_rows_and_schema(spark):
