@@ -14,8 +14,8 @@ less than 1.
 
 The next document is the one before it by id, the largest id after the last; documents
 without an id come last, ties in the order of their texts. Texts are dealt by ranges of
-ids once, so that a task has its documents' neighbours; the first and the last of each
-range are matched by a join.
+ids once, so that a task has its documents' neighbours; the first text of each range is
+also sent to the range before it, where it ends the sequence. Nothing else is written.
 
 Defined cases: a null text is empty; an empty text's likeness to an empty one is 1, to
 others 0; the next of the only document is itself; an empty table gives no rows.
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +42,8 @@ SPAN = 16
 LONGEST = 1 << 31  # characters; Spark's strings have fewer
 SKETCH = 48
 DIGITS = 6
+#: Tasks stream their ranges, so a range may be larger than memory.
+RANGE_BYTES = 128_000_000
 
 
 def growing(most: int) -> np.ndarray:
@@ -187,54 +189,56 @@ def batch_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=[name for name, _ in fields])
 
 
+def by_ranges(docs: DataFrame, ranges: int) -> DataFrame:
+    """``docs`` with ``part``, the number of the row's range of ids; no id is the lowest."""
+    inner = [i / ranges for i in range(1, ranges)]
+    bounds = docs.approxQuantile("doc_id", inner, 0.1 / ranges) if inner else []
+    bucket = Bucketizer(
+        splits=[-np.inf, *(sorted(set(bounds)) or [0.0]), np.inf], inputCol="place", outputCol="part"
+    )
+    placed = F.coalesce(F.col("doc_id").cast("double"), F.lit(-np.inf))
+    return bucket.transform(docs.withColumn("place", placed)).drop("place")
+
+
+def followers(docs: DataFrame) -> DataFrame:
+    """For each range (``part``) the text after its last one: the next range's first."""
+    openings = settle(docs.groupBy("part").agg(F.max("doc_id").alias("first_id")), "openings")
+    order = Window.orderBy("part")  # one row for each range
+    before = F.coalesce(
+        F.lead("part").over(order), F.min("part").over(order.rowsBetween(*ALL_ROWS))
+    )
+    openings = openings.select(F.col("part").alias("own"), "first_id", before.alias("before"))
+    same = (F.col("part") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
+    return docs.join(openings, same).groupBy("before").agg(F.min("text").alias("text"))
+
+
 def compare_with_next(docs: DataFrame) -> DataFrame:
     """Fingerprints and likenesses of each row of ``docs`` (doc_id, text)."""
-    edge = f"{SCHEMA}, part int, place int, text string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, before, part = Powers(), None, TaskContext.get().partitionId()
+        powers, before = Powers(), None
         for batch in chunks(batches, "text", CHUNK_BYTES):
             rows = []
-            for doc_id, text in zip(
-                batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True
-            ):
-                text = text or ""
+            names = ("doc_id", "text", "follows")
+            for doc_id, text, follows in zip(*(batch.column(x).to_pylist() for x in names), strict=True):
                 now = (doc_id, text, fingerprint(text, powers))
-                if before is None:
-                    rows.append((doc_id, *[None] * 6, part, 0, text))
-                else:
-                    rows.append((*compared(*before, *now[1:], powers), None, None, None))
-                before = now
-            yield batch_of(rows, edge)
-        if before is not None:
-            yield batch_of([(before[0], *[None] * 6, part, 1, before[1])], edge)
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
-        for batch in chunks(batches, "text", CHUNK_BYTES):
-            rows = []
-            for doc_id, text, after in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                first, second = (fingerprint(x, powers) for x in (text, after))
-                rows.append(compared(doc_id, text, first, after, second, powers))
-            yield batch_of(rows, SCHEMA)
-
-    ranged = docs.select("doc_id", "text").repartitionByRange(F.desc_nulls_last("doc_id"))
-    ranged = ranged.sortWithinPartitions(F.desc_nulls_last("doc_id"), "text")
-    found = settle(ranged.mapInArrow(run, edge), "fingerprints")
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
-    edges = found.filter("part is not null").select("doc_id", "part", "place", "text")
-    parts = edges.filter("place = 0").select("part")  # one for each range
-    order = Window.orderBy("part")
-    following = F.coalesce(
-        F.lead("part").over(order), F.min("part").over(order.rowsBetween(*ALL_ROWS))
-    )
-    pairs = parts.select("part", following.alias("after_part"))
-    last = edges.filter("place = 1").join(pairs, "part")
-    first = edges.filter("place = 0").select(
-        F.col("part").alias("after_part"), F.col("text").alias("after")
-    )
-    ends = last.join(first, "after_part").select("doc_id", "text", "after").mapInArrow(finish, SCHEMA)
-    return found.filter("part is null").select(*names).unionByName(ends)
+                if before is not None:
+                    rows.append(compared(*before, *now[1:], powers))
+                before = None if follows else now
+            if rows:
+                yield batch_of(rows, SCHEMA)
+
+    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(4 * docs.sparkSession.sparkContext.defaultParallelism, -(-size // RANGE_BYTES))
+    ranged = by_ranges(docs, ranges)
+    ends = followers(ranged).select(
+        F.lit(None).cast("long").alias("doc_id"), "text", F.col("before").alias("part"),
+        F.lit(True).alias("follows"),
+    )
+    rows = ranged.withColumn("follows", F.lit(False)).unionByName(ends).repartition(ranges, "part")
+    order = ("part", "follows", F.desc_nulls_last("doc_id"), "text")
+    return rows.sortWithinPartitions(*order).mapInArrow(run, SCHEMA)
 
 
 ALL_ROWS = (Window.unboundedPreceding, Window.unboundedFollowing)
