@@ -6,6 +6,8 @@ products come before the lines, whose missing profits need the prices.
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,6 +65,23 @@ UNKNOWN_LOYALTY = "Unclassified"
 COST_SHARE = 0.70
 
 
+@dataclass(frozen=True)
+class Rules:
+    """What the cleaning of all five tables can be told; the defaults are the fixed values."""
+
+    region_names: dict[str, str] = field(default_factory=lambda: REGION_NAMES)
+    stock_statuses: dict[str, str] = field(default_factory=lambda: STOCK_STATUSES)
+    ship_modes: dict[str, str] = field(default_factory=lambda: SHIP_MODES)
+    payment_methods: dict[str, str] = field(default_factory=lambda: PAYMENT_METHODS)
+    order_priorities: dict[str, str] = field(default_factory=lambda: ORDER_PRIORITIES)
+    na_tokens: tuple[str, ...] = ("",)
+    unknown_loyalty: str = UNKNOWN_LOYALTY
+    cost_share: float = COST_SHARE
+
+
+ORIGINAL = Rules()
+
+
 def clean_regions(
     raw: DataFrame, names: dict[str, str] = REGION_NAMES
 ) -> tuple[DataFrame, DataFrame]:
@@ -78,7 +97,7 @@ def merge_customers(raw: DataFrame, key: str = "email") -> tuple[DataFrame, Data
 
 
 def clean_customers(
-    raw: DataFrame, na_tokens: tuple[str, ...] = ("",)
+    raw: DataFrame, na_tokens: tuple[str, ...] = ("",), unknown_loyalty: str = UNKNOWN_LOYALTY
 ) -> tuple[DataFrame, DataFrame]:
     """Repair emails, merge, fill loyalty and age, flag missing signups, title-case.
 
@@ -87,22 +106,22 @@ def clean_customers(
     loyalty = F.col("loyalty_status")
     known = raw.withColumn("loyalty_status", F.when(~loyalty.isin(*na_tokens), loyalty))
     merged, mapping = merge_customers(clean.repair_emails(known))
-    filled = clean.fill_constants(merged, {"loyalty_status": UNKNOWN_LOYALTY})
+    filled = clean.fill_constants(merged, {"loyalty_status": unknown_loyalty})
     filled = clean.fill_group_median(filled, "age", "country")
     flagged = clean.flag_missing(filled, "signup_date", "signup_date_missing")
     return clean.to_title_case(flagged, "country", "city"), mapping
 
 
-def clean_products(raw: DataFrame) -> DataFrame:
+def clean_products(raw: DataFrame, rules: Rules = ORIGINAL) -> DataFrame:
     """Conform the stock status and impute missing costs from the unit price.
 
     The imputed cost is a double with all its digits; it becomes a decimal when
     the fact is built.
     """
-    status = clean.conform(raw, "stock_status", STOCK_STATUSES)
+    status = clean.conform(raw, "stock_status", rules.stock_statuses)
     flagged = clean.flag_missing(status, "cost_price", "cost_price_imputed")
     as_double = flagged.withColumn("cost_price", F.col("cost_price").cast("double"))
-    estimate = F.col("unit_price").cast("double") * COST_SHARE
+    estimate = F.col("unit_price").cast("double") * rules.cost_share
     costed = clean.fill_from(as_double, "cost_price", estimate)
     return clean.to_title_case(costed, "category", "subcategory")
 
@@ -112,19 +131,21 @@ def repoint_orders(orders: DataFrame, customer_map: DataFrame, region_map: DataF
     return clean.repoint(moved, "customer_id", customer_map).select(*orders.columns)
 
 
-def conform_orders(orders: DataFrame) -> DataFrame:
-    by_mode = clean.conform(orders, "ship_mode", SHIP_MODES)
-    by_payment = clean.conform(by_mode, "payment_method", PAYMENT_METHODS)
-    return clean.conform(by_payment, "order_priority", ORDER_PRIORITIES)
+def conform_orders(orders: DataFrame, rules: Rules = ORIGINAL) -> DataFrame:
+    by_mode = clean.conform(orders, "ship_mode", rules.ship_modes)
+    by_payment = clean.conform(by_mode, "payment_method", rules.payment_methods)
+    return clean.conform(by_payment, "order_priority", rules.order_priorities)
 
 
-def clean_orders(raw: DataFrame, customer_map: DataFrame, region_map: DataFrame) -> DataFrame:
+def clean_orders(
+    raw: DataFrame, customer_map: DataFrame, region_map: DataFrame, rules: Rules = ORIGINAL
+) -> DataFrame:
     """Conform categories, fill delivery days by ship mode, re-point merged ids.
 
     The ids play no part in the first two steps. Doing those first lets the pass
     for the medians read the raw orders alone, without the mapping joins.
     """
-    filled = clean.fill_group_median(conform_orders(raw), "delivery_time_days", "ship_mode")
+    filled = clean.fill_group_median(conform_orders(raw, rules), "delivery_time_days", "ship_mode")
     return repoint_orders(filled, customer_map, region_map)
 
 

@@ -9,22 +9,26 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.operators.star import build_fact_sales, calendar
+from shelfmark.operators.star import BULK_QUANTITY, HIGH_VALUE, build_fact_sales, calendar
 from shelfmark.plans import cleaning
 from shelfmark.plans.questions import QUESTIONS, Parameters
 from shelfmark.sources import schemas, tables
 
 
-def clean_all(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
+def clean_all(
+    raw: dict[str, DataFrame], rules: cleaning.Rules = cleaning.ORIGINAL
+) -> dict[str, DataFrame]:
     """The five cleaned tables and the two id mappings."""
-    regions, region_map = cleaning.clean_regions(raw["regions"])
-    customers, customer_map = cleaning.clean_customers(raw["customers"])
-    products = cleaning.clean_products(raw["products"])
+    regions, region_map = cleaning.clean_regions(raw["regions"], rules.region_names)
+    customers, customer_map = cleaning.clean_customers(
+        raw["customers"], rules.na_tokens, rules.unknown_loyalty
+    )
+    products = cleaning.clean_products(raw["products"], rules)
     return {
         "regions": regions,
         "customers": customers,
         "products": products,
-        "orders": cleaning.clean_orders(raw["orders"], customer_map, region_map),
+        "orders": cleaning.clean_orders(raw["orders"], customer_map, region_map, rules),
         "order_details": cleaning.clean_order_details(raw["order_details"], products),
         "customer_id_mapping": customer_map,
         "region_id_mapping": region_map,
@@ -34,12 +38,15 @@ def clean_all(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
 def build_warehouse(
     spark: SparkSession, raw_folder: str, target: str,
     first_day: date | None = None, last_day: date | None = None,
+    rules: cleaning.Rules = cleaning.ORIGINAL,
+    high_value: float = HIGH_VALUE, bulk_quantity: int = BULK_QUANTITY,
 ) -> None:
     """Load, clean and write everything below ``target``, replacing what is there.
 
     The fact is built from the written tables, whose sizes Spark knows. The calendar goes
     from the first to the last order of the fact, or over the days given. Fields of the
     raw files that do not fit their types are NULL in the tables and rows of ``rejects``.
+    ``rules`` are the spellings and fillings of the cleaning.
     """
     loaded = {
         name: tables.load_csv(spark, f"{raw_folder}/{name}.csv", ddl)
@@ -51,12 +58,12 @@ def build_warehouse(
         for name, (_, found) in loaded.items()
     ]
     tables.write_table(reduce(DataFrame.unionByName, rejects), f"{target}/rejects")
-    for name, df in clean_all(raw).items():
+    for name, df in clean_all(raw, rules).items():
         tables.write_table(df, f"{target}/{name}")
     clean = open_warehouse(spark, target, tuple(schemas.CLEANED))
     fact = build_fact_sales(
         clean["order_details"], clean["orders"], clean["customers"], clean["products"],
-        clean["regions"],
+        clean["regions"], high_value=high_value, bulk_quantity=bulk_quantity,
     )
     tables.write_fact(fact, f"{target}/fact_sales")
     sold = open_warehouse(spark, target, ("fact_sales",))["fact_sales"]

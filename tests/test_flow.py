@@ -7,7 +7,7 @@ from decimal import Decimal
 import pytest
 
 from shelfmark.operators import star
-from shelfmark.plans import customers, products, profiling, revenue, time_series, warehouse
+from shelfmark.plans import cleaning, customers, products, profiling, revenue, time_series, warehouse
 from shelfmark.plans.questions import QUESTIONS
 from shelfmark.sources import schemas, tables
 
@@ -83,6 +83,19 @@ def test_float_written_numbers_unfit_fields_and_other_column_orders(spark, tmp_p
     assert {(r.year, r.month) for r in months} == {(2023, 3), (2024, 4), (2026, 1)}
 
 
+def test_rules_of_the_cleaning_are_parameters(spark, folder):
+    raw = {name: tables.load_raw(spark, str(folder), name) for name in schemas.RAW}
+    rules = cleaning.Rules(
+        stock_statuses={"LOW STOCK": "Scarce"}, ship_modes={"express": "Fast"},
+        unknown_loyalty="None", cost_share=0.5,
+    )
+    done = warehouse.clean_all(raw, rules)
+    assert {r.stock_status for r in done["products"].collect()} == {"in stock", "Scarce"}
+    assert {r.product_id: r.cost_price for r in done["products"].collect()}["P2"] == 5.0
+    assert {r.ship_mode for r in done["orders"].collect()} == {"Fast", "Express"}
+    assert {r.loyalty_status for r in done["customers"].collect()} == {"None", "Silver"}
+
+
 def test_mappings_are_written(shop):
     assert [tuple(r) for r in shop["customer_id_mapping"].collect()] == [("C1", "C2")]
     assert [tuple(r) for r in shop["region_id_mapping"].collect()] == [("R2", "R1")]
