@@ -13,7 +13,25 @@ from pyspark.sql import functions as F
 
 from shelfmark.sources.shared import settle
 
-_SLICE, _WEIGHT = "slice_no", "slice_weight"
+_SLICE, _WEIGHT, _PLACE = "slice_no", "slice_weight", "slice_place"
+
+#: Bits of ``monotonically_increasing_id`` below the partition's number.
+PLACE_BITS = 33
+
+
+def offsets(slices: DataFrame, size: Column, whole: str) -> DataFrame:
+    """Each slice's ``offset``, the sizes of those before it, and the size of all.
+
+    One row per slice, so the unpartitioned windows here and the broadcast of the result
+    are bounded by the number of shuffle partitions.
+    """
+    earlier = Window.orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = slices.groupBy(_SLICE).agg(size.alias("size"))
+    return sizes.select(
+        _SLICE,
+        F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("offset"),
+        F.sum("size").over(Window.partitionBy()).alias(whole),
+    )
 
 
 def running_total(
@@ -30,18 +48,7 @@ def running_total(
         .withColumn(_SLICE, F.spark_partition_id()),
         "slices",
     )
-    # One row per slice, so the two unpartitioned windows and the broadcast
-    # below are bounded by the number of shuffle partitions.
-    earlier = Window.orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = (
-        sliced.groupBy(_SLICE)
-        .agg(F.sum(_WEIGHT).alias("size"))
-        .select(
-            _SLICE,
-            F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("offset"),
-            F.sum("size").over(Window.partitionBy()).alias(whole),
-        )
-    )
+    sizes = offsets(sliced, F.sum(_WEIGHT), whole)
     inside = (
         Window.partitionBy(_SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     )
@@ -54,8 +61,26 @@ def running_total(
 
 
 def row_numbers(df: DataFrame, order: list[Column], name: str, whole: str) -> DataFrame:
-    """Add the 1-based position of each row and the number of rows."""
-    return running_total(df, order, F.lit(1), name, whole).withColumn(name, F.col(name) + 1)
+    """Add the 1-based position of each row and the number of rows.
+
+    The slices are sorted as they are written, and the increasing id holds the slice
+    above its low 33 bits and the place within the slice in them, so the rows shuffle once.
+    Writing the slices runs a job while the DataFrame is being built.
+    """
+    placed = settle(
+        df.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .withColumn(_PLACE, F.monotonically_increasing_id()),
+        "slices",
+    )
+    slice_no = F.shiftright(_PLACE, PLACE_BITS)
+    placed = placed.withColumn(_SLICE, slice_no)
+    inside = F.col(_PLACE) - F.shiftleft(slice_no, PLACE_BITS)
+    return (
+        placed.join(F.broadcast(offsets(placed, F.count("*"), whole)), _SLICE)
+        .withColumn(name, F.col("offset") + inside + 1)
+        .drop(_SLICE, _PLACE, "offset")
+    )
 
 
 def tile_of(position: Column, rows: Column, tiles: int) -> Column:

@@ -118,18 +118,20 @@ def full_name() -> Column:
     return F.concat("first_name", F.lit(" "), "last_name")
 
 
-def order_side(
-    orders: DataFrame, totals: DataFrame, customers: DataFrame, regions: DataFrame
-) -> DataFrame:
-    """Orders with their total and all customer and region attributes.
+def order_side(orders: DataFrame, customers: DataFrame, regions: DataFrame) -> DataFrame:
+    """Orders (with ``order_total``) and all customer and region attributes.
 
     The dimensions meet the orders here, before the far more numerous lines
-    come in. Orders without a line, customer or region drop out. The regions are
-    settled: there are few, each with many orders, and a broadcast, which Spark
-    chooses by their true size, spares a shuffle on so few keys.
+    come in. Orders without a customer or region drop out. Orders that carry no
+    ``region_id`` have that of their customer, from the same join. The regions are
+    settled, a job that runs while the DataFrame is being built: there are few, each
+    with many orders, and a broadcast, which Spark chooses by their true size, spares
+    a shuffle on so few keys.
     """
+    home = [] if "region_id" in orders.columns else ["region_id"]
     buyers = customers.select(
         "customer_id",
+        *home,
         F.col("loyalty_status").alias("customer_loyalty_status"),
         full_name().alias("customer_full_name"),
     )
@@ -143,9 +145,8 @@ def order_side(
         "regions",
     )
     return (
-        orders.join(totals, "order_id")
+        orders.join(buyers, "customer_id")
         .join(places, "region_id")
-        .join(buyers, "customer_id")
         .withColumn("delivery_time_days", F.col("delivery_time_days").cast("int"))
     )
 
@@ -164,16 +165,20 @@ def build_fact_sales(
     """One row per order line whose order, customer, region and product exist.
 
     ``profit`` replaces the lines' own column by an expression over the line
-    and its product, for sources that do not carry it.
+    and its product, for sources that do not carry it. Orders that carry an
+    ``order_total`` keep it; for others the lines are summed here.
 
     No side is forced to broadcast: small dimensions are, by Spark's size
     threshold, and large ones shuffle. The order side is settled first, so each
     remaining join has two plain shuffled inputs, and adaptive execution can
     split the partition of an order, customer or product that holds a large part
     of the lines. The per-order total is an aggregate with partial sums rather
-    than a window, which would gather such an order in one task.
+    than a window, which would gather such an order in one task. Settling runs jobs
+    while the DataFrame is being built.
     """
-    side = settle(order_side(orders, order_totals(lines), customers, regions), "order_side")
+    if "order_total" not in orders.columns:
+        orders = orders.join(order_totals(lines), "order_id")
+    side = settle(order_side(orders, customers, regions), "order_side")
     goods = products.select(
         "product_id",
         F.col("unit_price").cast(MONEY).alias("unit_price"),
@@ -194,6 +199,7 @@ def build_fact_sales(
     )
 
 
+# The fact's columns, in the warehouse's order.
 FACT_COLUMNS = [
     "order_date", "order_year", "order_quarter", "order_month", "order_month_name",
     "order_day", "order_day_name",

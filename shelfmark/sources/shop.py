@@ -11,6 +11,7 @@ tables with the kinds of dirt that cleaning is for, derived from the keys.
 from __future__ import annotations
 
 from functools import cached_property
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +48,15 @@ def _lookup(column: str, names: dict[str, str]) -> Column:
     return F.try_element_at(F.create_map(*pairs), F.col(column))
 
 
+class Amounts(NamedTuple):
+    """Expressions over a line of the given tables."""
+
+    rebate: Column
+    tax: Column
+    net: Column
+    total: Column
+
+
 class Shop:
     """The clean retail tables of one directory; each is a lazy DataFrame."""
 
@@ -129,21 +139,46 @@ class Shop:
         The delivery days cost one too, but there each order occurs once in an
         aggregate, so Catalyst drops the join where they are not asked for.
         """
+        return self._with_days(self._dated_orders.join(self.deliveries, "order_id", "left"))
+
+    @property
+    def _dated_orders(self) -> DataFrame:
+        return self.table("orders").select(
+            F.col("o_orderkey").alias("order_id"),
+            F.to_date("o_orderdate").alias("order_date"),
+            F.col("o_custkey").alias("customer_id"),
+            _lookup("o_orderpriority", SHIP_MODES).alias("ship_mode"),
+            _lookup("o_orderstatus", PAYMENTS).alias("payment_method"),
+            F.col("o_totalprice").cast(MONEY).alias("shipping_cost"),
+            _lookup("o_orderpriority", PRIORITIES).alias("order_priority"),
+        )
+
+    @staticmethod
+    def _with_days(orders: DataFrame) -> DataFrame:
         days = F.datediff("delivered", "order_date")
-        return (
-            self.table("orders")
-            .select(
-                F.col("o_orderkey").alias("order_id"),
-                F.to_date("o_orderdate").alias("order_date"),
-                F.col("o_custkey").alias("customer_id"),
-                _lookup("o_orderpriority", SHIP_MODES).alias("ship_mode"),
-                _lookup("o_orderstatus", PAYMENTS).alias("payment_method"),
-                F.col("o_totalprice").cast(MONEY).alias("shipping_cost"),
-                _lookup("o_orderpriority", PRIORITIES).alias("order_priority"),
-            )
-            .join(self.deliveries, "order_id", "left")
-            .withColumn("delivery_time_days", F.when(days >= 0, days))
-            .drop("delivered")
+        return orders.withColumn("delivery_time_days", F.when(days >= 0, days)).drop("delivered")
+
+    @cached_property
+    def summed_orders(self) -> DataFrame:
+        """The placed orders that have lines, with delivery days and order total.
+
+        Both come from one aggregate of the lines.
+        """
+        total = F.sum(self._net().total).alias("order_total")
+        delivered = F.to_date(F.max("l_shipdate")).alias("delivered")
+        lines = self.table("lineitem").groupBy(F.col("l_orderkey").alias("order_id"))
+        return self._with_days(self._dated_orders.join(lines.agg(total, delivered), "order_id"))
+
+    @cached_property
+    def buyers(self) -> DataFrame:
+        """The customers' columns of the fact, and their region."""
+        name = F.col("c_name")
+        return self.table("customer").select(
+            F.col("c_custkey").alias("customer_id"),
+            F.split_part(name, F.lit("#"), F.lit(1)).alias("first_name"),
+            F.split_part(name, F.lit("#"), F.lit(2)).alias("last_name"),
+            F.col("c_mktsegment").alias("loyalty_status"),
+            F.col("c_nationkey").alias("region_id"),
         )
 
     @cached_property
@@ -153,16 +188,17 @@ class Shop:
         )
         return self.placed_orders.join(homes, "customer_id", "left")
 
+    @staticmethod
+    def _net() -> Amounts:
+        one = F.lit(1).cast(RATE)
+        rebate, tax = F.col("l_discount").cast(RATE), F.col("l_tax").cast(RATE)
+        net = F.col("l_extendedprice").cast(MONEY) * (one - rebate)
+        return Amounts(rebate, tax, net.cast(MONEY), (net * (one + tax)).cast(MONEY))
+
     @cached_property
     def unpriced_lines(self) -> DataFrame:
         """Order lines with ``net_amount`` in place of the profit."""
-        one = F.lit(1).cast(RATE)
-        price, rebate, tax = (
-            F.col("l_extendedprice").cast(MONEY),
-            F.col("l_discount").cast(RATE),
-            F.col("l_tax").cast(RATE),
-        )
-        net = price * (one - rebate)
+        rebate, tax, net, total = self._net()
         return self.table("lineitem").select(
             (F.col("l_orderkey") * 20 + F.col("l_linenumber")).alias("order_detail_id"),
             F.col("l_orderkey").alias("order_id"),
@@ -170,8 +206,8 @@ class Shop:
             F.col("l_quantity").cast("int").alias("quantity"),
             rebate.alias("discount"),
             tax.alias("tax_rate"),
-            (net * (one + tax)).cast(MONEY).alias("total_price"),
-            net.cast(MONEY).alias("net_amount"),
+            total.alias("total_price"),
+            net.alias("net_amount"),
         )
 
     @staticmethod
@@ -193,10 +229,11 @@ class Shop:
         """The sales fact, written once to the shared folder on first use.
 
         The lines' profit is taken from the product columns that the fact joins
-        anyway, which saves the join inside ``order_details``.
+        anyway, which saves the join inside ``order_details``; the region comes with
+        the customer's other columns.
         """
         fact = build_fact_sales(
-            self.unpriced_lines, self.orders, self.customers, self.products, self.regions,
+            self.unpriced_lines, self.summed_orders, self.buyers, self.products, self.regions,
             profit=self.line_profit("cost_price"),
             high_value=HIGH_VALUE, bulk_quantity=BULK_QUANTITY,
         )

@@ -122,8 +122,8 @@ def write_mapping(df: DataFrame, path: str) -> None:
 def write_fact(fact: DataFrame, path: str) -> None:
     """Replace the sales fact, one folder per order year for partition pruning.
 
-    Rows are written where the last join left them, without a shuffle of the wide
-    fact by year: each task leaves one file per year. Size those files with
-    ``spark.sql.adaptive.advisoryPartitionSizeInBytes``; see the README.
+    The rows are rebalanced by year: adaptive execution splits a large year into tasks
+    of ``spark.sql.adaptive.advisoryPartitionSizeInBytes`` and joins small years, so the
+    number of files follows the size of the fact and not the tasks that made it.
     """
-    write_table(fact, path, "order_year")
+    write_table(fact.hint("rebalance", F.col("order_year")), path, "order_year")

@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from shelfmark.catalog import QUESTIONS, answer, tables_of
-from shelfmark.operators import clean
+from shelfmark.operators import clean, star
 from shelfmark.plans import cleaning, customers, products, revenue
+from shelfmark.sources.tables import write_fact
 
 SF = "/root/testdata/sf0.001"
 
@@ -78,6 +80,33 @@ def test_primaries_are_aggregated_before_the_shuffle(spark):
     assert "partial_count" in plan_of(census)
 
 
-def test_quintiles_number_rows_inside_slices(spark):
+def test_quintiles_shuffle_customers_once(spark):
+    """What follows the written slices only shuffles one row of each slice."""
     plan = plan_of(customers.value_tiles(tables_of(spark, SF).shop.fact))
-    assert re.search(r"hashpartitioning\(slice_no", plan)
+    exchanges = re.findall(r"Exchange (hash|range)partitioning\(([^,)]*)", plan)
+    assert len(exchanges) == 1
+    assert re.search(r"Exchange hashpartitioning.*\n.*HashAggregate.*partial_count", plan)
+
+
+def test_orders_shuffle_once_by_each_key(spark):
+    shop = tables_of(spark, SF).shop
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, -1)
+    try:
+        plan = plan_of(star.order_side(shop.summed_orders, shop.buyers, shop.regions))
+    finally:
+        spark.conf.set(threshold, before)
+    keys = re.findall(r"Exchange hashpartitioning\((\w+)#", plan)
+    assert sorted(keys) == sorted(["order_id", "l_orderkey", *["customer_id", "region_id"] * 2])
+    assert len(re.findall(r"FileScan parquet \[l_", plan)) == 1
+    assert len(re.findall(r"FileScan parquet \[c_", plan)) == 1
+
+
+def test_files_of_the_fact_do_not_follow_the_tasks(spark, tmp_path):
+    sales = spark.range(0, 40_000, 1, 64).withColumn("order_year", F.col("id") % 3 + 2020)
+    write_fact(sales, str(tmp_path / "fact"))
+    files = list((tmp_path / "fact").glob("order_year=*/*.parquet"))
+    assert {f.parent.name for f in files} == {f"order_year={y}" for y in (2020, 2021, 2022)}
+    assert len(files) <= 8
+    assert spark.read.parquet(str(tmp_path / "fact")).count() == 40_000
