@@ -7,7 +7,9 @@ pages (``labelled_pages``, whose blocks are known to be content or not), and Vit
 decoding picks the content blocks of a page.
 
 Scripts, styles, templates and comments hold no text; tags may be left open, as browsers
-allow: a block closes an open paragraph, an end tag all that was opened since.
+allow: a block closes an open paragraph, an end tag all that was opened since. So an open
+template, noscript, object, select or svg ends with its parent, and an svg also at a tag that
+only HTML has; an open script, style, textarea, title or iframe goes on to the page's end.
 
 Defined cases: a null or empty page and one without content have an empty text; white
 space is what str.split takes as such; repeated rows have equal texts.
@@ -34,7 +36,17 @@ INLINE = frozenset(
     "rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style template noscript textarea title svg iframe object select".split())
+#: Elements without text of the page: those whose inside is not markup, and the others.
+RAW = frozenset("script style textarea title iframe".split())
+SILENT = frozenset("template noscript svg object select".split())
+#: Elements that a slash in the tag does not make empty.
+SLASHED = INLINE | SILENT | {"div", "p"}
+#: HTML within an svg, and the tags that end an svg where they are not in one of those.
+WITHIN_SVG = frozenset("foreignobject desc title".split())
+NOT_SVG = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li "
+    "listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
 #: An opening tag of the second kind closes an open one of the first, up to the barrier.
 CLOSES = {
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])),
@@ -44,6 +56,9 @@ CLOSES = {
     "td": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
     "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
     "option": (frozenset(["option"]), frozenset(["select"])),
+    "select": (frozenset(["select"]), frozenset()),
+    "input": (frozenset(["select"]), frozenset()),
+    "textarea": (frozenset(["select"]), frozenset()),
 }
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -52,6 +67,7 @@ TAG = re.compile(
 )
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 WORDS = re.compile("[a-z]+")
+END_OF_NOSCRIPT = re.compile(r"</noscript(?=[\s/>])", re.IGNORECASE)
 
 Block = tuple[str, frozenset, int, str]
 
@@ -60,8 +76,10 @@ def blocks(page: str) -> list[Block]:
     """Leaf blocks: text, names of the ancestors, linked characters, innermost block tag."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    silent: list[int] = []  # where the stack has elements without text, or HTML within an svg
     pieces: list[str] = []
     linked, links, at, end = 0, 0, 0, len(page)
+    wall = -1  # the next end of a noscript, beyond which nothing begun within it goes
 
     def flush() -> None:
         nonlocal linked
@@ -77,17 +95,26 @@ def blocks(page: str) -> list[Block]:
         nonlocal links
         links -= sum(t == "a" for t, _ in stack[index:])
         del stack[index:]
+        while silent and silent[-1] >= index:
+            silent.pop()
 
     while at < end:
-        found = TAG.search(page, at)
-        text = page[at : found.start() if found else end]
-        if text:
+        stop = end
+        if silent and any(stack[i][0] == "noscript" for i in silent):
+            if wall < at:
+                ending = END_OF_NOSCRIPT.search(page, at)
+                wall = ending.start() if ending else end
+            stop = wall if wall > at else end
+        found = TAG.search(page, at, stop)
+        text = page[at : found.start() if found else stop]
+        if text and not silent:
             text = unescape(text)
             pieces.append(text)
             if links:
                 linked += len(text.strip())
         if not found:
-            break
+            at = stop
+            continue
         at = found.end()
         ends, tag = found.group(1), (found.group(2) or "").lower()
         if not tag:
@@ -100,29 +127,38 @@ def blocks(page: str) -> list[Block]:
                     close(index)
                     break
             continue
-        if tag in SILENT:
-            closing = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>", re.IGNORECASE).search(page, at)
-            at = closing.end() if closing else end
-            continue
-        if tag not in INLINE:
-            for index in range(len(stack) - 1, -1, -1):
+        empty = found.group(3).endswith("/")
+        in_svg = bool(silent) and stack[silent[-1]][0] == "svg"
+        if in_svg and tag in NOT_SVG:
+            while silent and stack[silent[-1]][0] == "svg":
+                close(silent[-1])
+            in_svg = False
+        lowest = silent[-1] if silent else 0
+        if tag not in INLINE and tag not in RAW and tag not in SILENT:
+            for index in range(len(stack) - 1, lowest - 1, -1):
                 if stack[index][0] == "p":
                     close(index)
                     break
                 if stack[index][0] not in INLINE:
                     break
         kinds, barrier = CLOSES.get(tag, (frozenset(), frozenset()))
-        for index in range(len(stack) - 1, -1, -1):
+        for index in range(len(stack) - 1, lowest - 1, -1):
             if stack[index][0] in kinds:
                 close(index)
                 break
             if stack[index][0] in barrier or not kinds:
                 break
-        if tag in VOID or found.group(3).endswith("/") and tag not in INLINE | {"div", "p"}:
+        if tag in RAW and not in_svg:
+            closing = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>", re.IGNORECASE).search(page, at, stop)
+            at = closing.end() if closing else stop
+            continue
+        if tag in VOID or empty and (in_svg or tag == "svg" or tag not in SLASHED):
             continue
         names = [f"<{tag}>"]
         for given in NAMES.findall(found.group(3)):
             names += WORDS.findall(unescape("".join(given)).lower())
+        if tag in SILENT or in_svg and tag in WITHIN_SVG:
+            silent.append(len(stack))
         stack.append((tag, tuple(names)))
         links += tag == "a"
     flush()

@@ -5,10 +5,11 @@ from __future__ import annotations
 from itertools import product
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from shelfmark.llm import crf, induced, mixing, packing, prefixhash, simhash, suffixes, urls
+from shelfmark.llm import crf, html, induced, mixing, packing, prefixhash, simhash, suffixes, urls
 
 
 @settings(max_examples=150, deadline=None)
@@ -156,3 +157,23 @@ def test_shortage_goes_to_siblings_before_ancestors(spark):
     leaves = spark.createDataFrame(rows, "domain string, lang string, source string, supply long")
     got = {r.source: int(r.budget) for r in mixing.budgets(leaves, 20, 1, {}).collect()}
     assert got == {"a": 10, "b": 191, "c": 201}
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<p>a <svg class='i'/> b</p><p>c</p>", ["a", "b", "c"]),
+        ("<p>a</p><svg><svg><text>x</text></svg><path/>x<title/></svg><p>b</p>", ["a", "b"]),
+        ("<p>a</p><svg><path d='1'><p>b</p><svg><title>x<b>x</b></title></svg>", ["a", "b"]),
+        ("<div><noscript>x</div><p>a</p><div><noscript>x</noscript></div><p>b</p>", ["a", "b"]),
+        ("<noscript><iframe src='x'><!-- x</noscript><p>a</p>", ["a"]),
+        ("<form><select><option>x<option>x</form><p>a</p>", ["a"]),
+        ("<select><option>x<select><option>x</select><p>a</p>", ["a"]),
+        ("<div><object><p>x</div><p>a</p>", ["a"]),
+        ("<li>a<template><li>x<template>x</template>x</li></template>b</li>", ["a", "b"]),
+        ("<p>a</p><script>x</p><p>x", ["a"]),
+        ("<p>a</p><textarea><p>x</textarea><p>b", ["a", "b"]),
+    ],
+)
+def test_silent_elements_end_where_they_should(page, want):
+    assert [text for text, *_ in html.blocks(page)] == want
