@@ -101,8 +101,12 @@ def gradient(
 def train(
     features: np.ndarray, labels: np.ndarray, lengths: np.ndarray, n_features: int,
     n_labels: int = 2, rounds: int = 60, rate: float = 0.2, decay: float = 1e-3,
+    unused: int | None = None,
 ) -> Field:
-    """Weights by gradient ascent with per-weight steps (Adam), on the mean likelihood."""
+    """Weights by gradient ascent with per-weight steps (Adam), on the mean likelihood.
+
+    A feature ``unused`` fills places and has no weight.
+    """
     field = Field(np.zeros((n_features, n_labels)), np.zeros((n_labels,) * 2), np.zeros(n_labels))
     if not len(features):
         return field
@@ -111,6 +115,8 @@ def train(
     square = {p: np.zeros_like(getattr(field, p)) for p in parts}
     for turn in range(1, rounds + 1):
         _, slope = gradient(field, features, labels, lengths)
+        if unused is not None:
+            slope.weights[unused] = 0
         for p in parts:
             value = getattr(field, p)
             g = getattr(slope, p) / len(features) - decay * value

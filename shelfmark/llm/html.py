@@ -2,7 +2,9 @@
 
 A page is read into its leaf blocks: runs of text between the tags that begin or end a
 block. A block's features are the tags and the class and id words of its ancestors, and
-its length, its share of linked text and its marks. The field is trained on labelled
+its length, its share of linked text and its marks. Features that training has not seen
+have no weight, and the class and id words of html and body, which say nothing of a single
+block, are features apart from those of nearer ancestors. The field is trained on labelled
 pages (``labelled_pages``, whose blocks are known to be content or not), and Viterbi
 decoding picks the content blocks of a page.
 
@@ -18,7 +20,6 @@ space is what str.split takes as such; repeated rows have equal texts.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from functools import cache
 from html import unescape
@@ -35,6 +36,7 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q "
     "rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
+PAGE = frozenset(["html", "body"])
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements without text of the page: those whose inside is not markup, and the others.
 RAW = frozenset("script style textarea title iframe".split())
@@ -156,7 +158,8 @@ def blocks(page: str) -> list[Block]:
             continue
         names = [f"<{tag}>"]
         for given in NAMES.findall(found.group(3)):
-            names += WORDS.findall(unescape("".join(given)).lower())
+            words = WORDS.findall(unescape("".join(given)).lower())
+            names += [f"page {w}" for w in words] if tag in PAGE else words
         if tag in SILENT or in_svg and tag in WITHIN_SVG:
             silent.append(len(stack))
         stack.append((tag, tuple(names)))
@@ -165,37 +168,27 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-BITS = 11
-SLOTS = 24
-
-
-def slot(name: str) -> int:
-    """The number of a named feature; 0 is for unused places."""
-    return 1 + zlib.crc32(name.encode()) % ((1 << BITS) - 1)
-
-
-slot_of = cache(slot)
+def named(block: Block) -> list[str]:
+    """The features of a block by name; tags and words of ancestors are their own names."""
+    text, names, linked, inner = block
+    words = text.count(" ") + 1
+    share = min(3, 4 * linked // max(1, len(text)))
+    return [
+        f"in {inner}", f"links {share}", f"words {min(words.bit_length(), 7)}",
+        f"ends {text[-1] in '.!?:;…”' if text else False}",
+        f"copyright {'©' in text}", "any", *names,
+    ]
 
 
-def features(found: list[Block]) -> np.ndarray:
-    """Feature numbers of a page's blocks, ``SLOTS`` for each.
+def features(found: list[Block], numbers: dict[str, int]) -> np.ndarray:
+    """Feature numbers of blocks, as many places for each as the fullest one needs.
 
-    Of the ancestors' names those that training knows come first, so that none of them
-    is lost on a deep page.
+    A feature that is not in ``numbers`` takes no place; unused places are 0.
     """
-    out = np.zeros((len(found), SLOTS), np.int64)
-    known = known_names()
-    for i, (text, names, linked, inner) in enumerate(found):
-        words = text.count(" ") + 1
-        share = min(3, 4 * linked // max(1, len(text)))
-        own = [
-            f"in {inner}", f"links {share}", f"words {min(words.bit_length(), 7)}",
-            f"ends {text[-1] in '.!?:;…”' if text else False}",
-            f"copyright {'©' in text}", "any",
-        ]
-        order = sorted(names, key=lambda n: (n not in known, n))
-        own += order[: SLOTS - len(own)]
-        out[i, : len(own)] = [slot_of(n) for n in own]
+    own = [sorted(numbers[n] for n in named(block) if n in numbers) for block in found]
+    lengths = np.array([len(x) for x in own], np.int64)
+    out = np.zeros((len(own), max(lengths, default=0)), np.int64)
+    out[np.arange(out.shape[1]) < lengths[:, None]] = [x for xs in own for x in xs]
     return out
 
 
@@ -214,12 +207,6 @@ LONG = "The words of an article run on for a while, and a full stop ends them."
 SHORT = "A short heading"
 
 
-@cache
-def known_names() -> frozenset:
-    tags = {f"<{t}>" for t in (*ASIDE_TAGS, *MAIN_TAGS, "h1", "h2", "p", "li", "ul", "a", "blockquote")}
-    return frozenset(tags | set(ASIDE_NAMES) | set(MAIN_NAMES))
-
-
 def labelled_pages() -> list[tuple[str, list[int]]]:
     """Pages with their blocks' labels, 1 for content: every kind of aside around and within
     every kind of main part, with long and short blocks in both."""
@@ -231,7 +218,8 @@ def labelled_pages() -> list[tuple[str, list[int]]]:
     bodies = [
         (f"<h1>{SHORT}</h1><p>{LONG}</p><p>{LONG} {LONG}</p>", 3),
         (f"<p><b>{LONG}<br><p>{SHORT}</p><p>{LONG * 4}</p>", 3),
-        (f"<h2>{SHORT}</h2><ul><li>{SHORT}</li><li>{LONG}</li></ul><blockquote>{LONG}</blockquote>", 4),
+        (f"<h2>{SHORT}</h2><ul><li>{SHORT}</li><li>{LONG}</li></ul><blockquote>{LONG}</blockquote>"
+         f"<h3>{SHORT}</h3><p>{LONG}</p>", 6),
         (f"<p>{SHORT} | {SHORT}</p><p>{LONG}</p><p>See <a href='/x'>{SHORT}</a>.</p>", 3),
     ]
     fillers = [
@@ -258,28 +246,33 @@ def labelled_pages() -> list[tuple[str, list[int]]]:
     return pages
 
 
+@cache
+def feature_numbers() -> dict[str, int]:
+    """The features of the labelled pages and their numbers, from 1 on."""
+    seen = {n for page, _ in labelled_pages() for block in blocks(page) for n in named(block)}
+    return {n: i for i, n in enumerate(sorted(seen), 1)}
+
+
 def train() -> crf.Field:
     """The field, from all labelled pages."""
-    slots, labels = [], []
-    for page, label in labelled_pages():
-        slots.append(features(blocks(page)))
-        labels.append(label)
-    lengths = np.array([len(x) for x in labels])
-    return crf.train(
-        np.concatenate(slots), np.concatenate([np.array(x) for x in labels]), lengths, 1 << BITS,
-        rounds=80, decay=1e-4,
-    )
+    pages = labelled_pages()
+    numbers = feature_numbers()
+    found = features([b for page, _ in pages for b in blocks(page)], numbers)
+    labels = np.array([x for _, label in pages for x in label])
+    lengths = np.array([len(label) for _, label in pages])
+    return crf.train(found, labels, lengths, 1 + len(numbers), rounds=80, decay=1e-4, unused=0)
 
 
 def extract(pages: DataFrame, field: crf.Field | None = None) -> DataFrame:
     """page_id, url, text, n_chars for each row of ``pages`` (page_id, url, html)."""
     field = train() if field is None else field
+    numbers = feature_numbers()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "html"):
             found = [blocks(x or "") for x in part.column("html").to_pylist()]
             lengths = np.array([len(x) for x in found], np.int64)
-            label = crf.viterbi(field, np.concatenate([features(x) for x in found]), lengths)
+            label = crf.viterbi(field, features([b for x in found for b in x], numbers), lengths)
             at = np.r_[0, np.cumsum(lengths)]
             texts = [
                 "\n".join(b[0] for b, keep in zip(x, label[a:], strict=False) if keep)

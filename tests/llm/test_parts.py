@@ -177,3 +177,47 @@ def test_shortage_goes_to_siblings_before_ancestors(spark):
 )
 def test_silent_elements_end_where_they_should(page, want):
     assert [text for text, *_ in html.blocks(page)] == want
+
+
+@pytest.fixture(scope="module")
+def content():
+    field, numbers = html.train(), html.feature_numbers()
+
+    def run(page):
+        found = html.blocks(page)
+        label = crf.viterbi(field, html.features(found, numbers), np.array([len(found)]))
+        return [text for (text, *_), keep in zip(found, label, strict=True) if keep]
+
+    return run
+
+
+@pytest.mark.parametrize("body", ["", "no-sidebar comments-open", "cat num categories"])
+@pytest.mark.parametrize(
+    "wrap", ["article", "article class='cat'", "article class='num categories'", "main class='new'"]
+)
+@pytest.mark.parametrize("small", ["h2", "h3", "h6", "figcaption", "pre", "abbr"])
+def test_names_that_training_lacks_say_nothing(content, body, wrap, small):
+    long = "The river rose again last night and the old bridge was closed to all traffic."
+    parts = [("h1", "Bridge closed"), ("p", long), (small, "The old bridge"), ("p", f"{long} {long}")]
+    parts += [(small, "What comes next for the town"), ("p", long)]
+    page = (
+        f"<html><body class='{body}'><nav><ul><li><a href='/'>Home</a></li></ul></nav><{wrap}>"
+        + "".join(f"<{tag}>{text}</{tag}>" for tag, text in parts if tag != "abbr")
+        + "".join(f"<p><abbr>{text}</abbr></p>" for tag, text in parts if tag == "abbr")
+        + f"</{wrap.split()[0]}><aside><h3>More</h3><ul><li><a href='/q'>Another</a></li></ul></aside>"
+        "<footer>&copy; Site, all rights.</footer></body></html>"
+    )
+    want = [x for tag, x in parts if tag != "abbr"] + [x for tag, x in parts if tag == "abbr"]
+    assert content(page) == want
+
+
+def test_no_ancestor_is_left_out_on_a_deep_page():
+    numbers = html.feature_numbers()
+    names = [f"<div class={n}>" for n in (*html.ASIDE_NAMES, *html.MAIN_NAMES)]
+    found = html.blocks("".join(names) + "text")
+    kept = set(html.features(found, numbers)[0].tolist())
+    assert {numbers[n] for n in (*html.ASIDE_NAMES, *html.MAIN_NAMES)} <= kept
+
+
+def test_an_unused_feature_has_no_weight(content):
+    assert not html.train().weights[0].any()
