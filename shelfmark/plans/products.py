@@ -104,16 +104,18 @@ def loss_summary(fact: DataFrame) -> DataFrame:
 def lines_of_product(fact: DataFrame, products: DataFrame, product_id: object) -> DataFrame:
     """All lines of one product, worst profit first; none if the product is not known.
 
-    Its name is looked up as one value, so the lines are neither joined nor shuffled by
-    the one id. Of several names for the id it is the first.
+    Its rows are counted and its name is looked up as one value each, so the lines are
+    neither joined nor shuffled by the one id. Of several names for the id it is the
+    first; a known product may have none.
     """
     wanted = F.col("product_id") == product_id
+    rows = products.filter(wanted).agg(F.count("*")).scalar()
     name = products.filter(wanted).agg(F.min("product_name")).scalar()
     return (
         fact.filter(wanted)
+        .filter(rows > 0)
         .select("product_id", "order_id", "order_detail_id", "product_category", "profit")
         .withColumn("product_name", name)
-        .filter("product_name is not null")
         .orderBy("profit", "order_id", "order_detail_id")
     )
 

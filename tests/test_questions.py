@@ -152,3 +152,19 @@ def test_cohorts_start_with_all_their_customers(shop):
     cohorts = customers.cohort_retention(shop.fact)
     first = cohorts.filter("months_since = 0").agg(F.sum("active_customers")).first()[0]
     assert first == shop.fact.select("customer_id").distinct().count()
+
+
+def test_lines_of_a_product_without_a_name(spark):
+    fact = spark.createDataFrame(
+        [(1, 5, 9, "Pens", 2.0), (1, 4, 8, "Pens", -1.0), (2, 4, 7, "Ink", 3.0), (3, 1, 1, "Ink", 4.0)],
+        "product_id int, order_id int, order_detail_id int, product_category string, profit double",
+    )
+    known = spark.createDataFrame([(1, None), (2, "Ink")], "product_id int, product_name string")
+
+    def lines(product):
+        found = products.lines_of_product(fact, known, product).collect()
+        return [(r.order_detail_id, r.product_name) for r in found]
+
+    assert lines(1) == [(8, None), (9, None)]
+    assert lines(2) == [(7, "Ink")]
+    assert lines(3) == lines(4) == []
