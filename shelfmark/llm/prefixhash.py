@@ -7,7 +7,7 @@ below 2^31 make up 62 bits.
 
 A fingerprint holds the whole text's hash, the hashes of prefixes and suffixes of
 lengths that grow by ``GROWTH``, and the ``SKETCH`` least hashes of spans of ``SPAN``
-characters. Of two fingerprints, binary search among the prefixes and the suffixes finds
+characters, of 48 bits each, so that unrelated texts of any length share none. Of two fingerprints, binary search among the prefixes and the suffixes finds
 the longest common extension from either end; their share of the longer text, or the
 resemblance of the sketches if that is more, is the likeness. Equal texts have 1, others
 less than 1.
@@ -42,6 +42,7 @@ SPAN = 16
 LONGEST = 1 << 31  # characters; Spark's strings have fewer
 SKETCH = 48
 DIGITS = 6
+SKETCH_DIGITS = 12
 #: Tasks stream their ranges, so a range may be larger than memory.
 RANGE_BYTES = 128_000_000
 
@@ -92,12 +93,24 @@ class Prefixes:
             parts.append((sums[stop] + prime - sums[start]) % prime * self.powers.down[i][start] % prime)
         return mix(parts[0] << np.uint64(31) | parts[1])
 
+    def short_spans(self, size: int, start: np.ndarray | None = None, by: int = 0) -> np.ndarray:
+        """A hash of the span of ``size`` characters from each ``start``, or from each
+        position, by one prime."""
+        prime, sums, down = np.uint64(PRIMES[by]), self.sums[by], self.powers.down[by]
+        if start is None:
+            found = (sums[size:] + prime - sums[:-size]) % prime
+            return mix(found * down[: len(found)] % prime)
+        return mix((sums[start + size] + prime - sums[start]) % prime * down[start] % prime)
 
-    def short_spans(self, size: int) -> np.ndarray:
-        """A hash of the span of ``size`` characters from each position, by one prime."""
-        prime, sums = np.uint64(PRIMES[0]), self.sums[0]
-        found = (sums[size:] + prime - sums[:-size]) % prime
-        return mix(found * self.powers.down[0][: len(found)] % prime)
+    def sketch(self, size: int, count: int) -> np.ndarray:
+        """The ``count`` least different hashes of spans of ``size`` characters.
+
+        32 bits by the first prime, then 16 by the second, which only the least need.
+        """
+        first = self.short_spans(size) >> np.uint64(32)
+        start = np.flatnonzero(first <= least(first, count)[-1])
+        second = self.short_spans(size, start, 1) >> np.uint64(48)
+        return least(first[start] << np.uint64(16) | second, count)
 
 
 def least(values: np.ndarray, count: int) -> np.ndarray:
@@ -124,10 +137,10 @@ def fingerprint(text: str, powers: Powers) -> str:
     short = np.uint64(64 - 4 * DIGITS)
     ahead = arrays.spans(np.zeros_like(at), at) >> short
     behind = arrays.spans(n - at, np.full_like(at, n)) >> short
-    spans = arrays.short_spans(SPAN) if n >= SPAN else np.zeros(0, np.uint64)
-    sketch = least(spans >> short, SKETCH)
-    written = lambda xs: "".join(f"{x:0{DIGITS}x}" for x in xs.tolist())
-    return f"{n:x}.{whole:016x}.{written(ahead)}.{written(behind)}.{written(sketch)}"
+    sketch = arrays.sketch(SPAN, SKETCH) if n >= SPAN else np.zeros(0, np.uint64)
+    written = lambda xs, digits: "".join(f"{x:0{digits}x}" for x in xs.tolist())
+    ends = f"{written(ahead, DIGITS)}.{written(behind, DIGITS)}"
+    return f"{n:x}.{whole:016x}.{ends}.{written(sketch, SKETCH_DIGITS)}"
 
 
 def common(a: str, b: str) -> int:
@@ -157,7 +170,7 @@ def likeness(one: str, two: str) -> float:
         found = common(a[side], b[side])
         reach += int(at[found - 1]) if found else 0
     shared = min(reach, min(n, m)) / max(n, m)
-    cut = lambda x: {x[i : i + DIGITS] for i in range(0, len(x), DIGITS)}
+    cut = lambda x: {x[i : i + SKETCH_DIGITS] for i in range(0, len(x), SKETCH_DIGITS)}
     left, right = cut(a[4]), cut(b[4])
     lowest = sorted(left | right)[:SKETCH]
     alike = sum(x in left and x in right for x in lowest) / max(1, len(lowest))

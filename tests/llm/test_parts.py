@@ -140,6 +140,25 @@ def test_likeness():
     assert prefixhash.likeness(of(text), of("")) == 0
 
 
+def test_long_unrelated_texts_are_unlike():
+    rng, powers = np.random.default_rng(5), prefixhash.Powers()
+    one, two = (rng.integers(97, 123, 6_000_000, np.uint8).tobytes().decode() for _ in range(2))
+    assert prefixhash.likeness(*(prefixhash.fingerprint(x, powers) for x in (one, two))) < 0.01
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text("ab", min_size=16, max_size=200), st.integers(1, 60))
+def test_sketch_holds_the_least_of_all_spans(text, count):
+    arrays = prefixhash.Prefixes(
+        np.frombuffer(text.encode("utf-32-le"), np.uint32), prefixhash.Powers()
+    )
+    start = np.arange(len(text) - 15)
+    first, second = (arrays.short_spans(16, start, by).tolist() for by in (0, 1))
+    want = sorted({a >> 32 << 16 | b >> 48 for a, b in zip(first, second, strict=True)})
+    assert arrays.sketch(16, count).tolist() == want[:count]
+    assert len(want) == len({text[i : i + 16] for i in start})
+
+
 def test_pattern_words_are_sure_tokens():
     assert urls.words_of("||ads-track.") == ["ads", "track"]
     assert urls.words_of("/x*/banner/*foo") == ["banner"]
