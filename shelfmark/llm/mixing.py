@@ -10,7 +10,8 @@ A leaf takes whole epochs while its budget holds them, and of the next epoch the
 of its documents, in an order seeded for that epoch, whose tokens stay within the rest.
 The prefix needs no sort of a leaf: the order's first ``BUCKET_DIGITS`` hex digits are a
 bucket, buckets are summed before the shuffle, and only the bucket in which the budget
-ends is sorted.
+ends is sorted. The first document that crosses the rest ends the prefix, so a leaf, of any
+size, takes less than its budget by up to that document's tokens.
 
 Defined cases: a null text has no tokens and, like any document without tokens, fits
 while its prefix does; a null language or source is the node 'none'; repeated rows are
@@ -47,6 +48,15 @@ def domain_of(source: Column) -> Column:
     return F.concat(F.lit("d"), (number % DOMAINS).cast("string"))
 
 
+def leaf_of_row() -> dict[str, Column]:
+    """The levels of the leaf that a document (lang, source) is in."""
+    return {
+        "domain": domain_of(F.col("source")),
+        "lang": F.coalesce("lang", F.lit("none")),
+        "source": F.coalesce("source", F.lit("none")),
+    }
+
+
 def weight_of(level: str, weights: dict[str, dict[str, int]]) -> Column:
     named = F.lit(1).cast("decimal(10,0)")
     for value, weight in weights.get(level, {}).items():
@@ -108,9 +118,7 @@ def choose(
     """
     own = settle(
         docs.select(
-            "doc_id", domain_of(F.col("source")).alias("domain"),
-            F.coalesce("lang", F.lit("none")).alias("lang"),
-            F.coalesce("source", F.lit("none")).alias("source"),
+            "doc_id", *(value.alias(level) for level, value in leaf_of_row().items()),
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"),
         ), "mixing_documents",
     )
@@ -152,10 +160,18 @@ def choose(
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that ``choose`` takes, each as often as it says."""
-    copies = choose(docs, **options).filter("copies > 0").select("doc_id", "copies").distinct()
-    copies = settle(copies.withColumnRenamed("doc_id", "taken_id"), "mixing_taken")
-    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("taken_id")))
+    """The rows of ``docs`` that ``choose`` takes, each as often as it says.
+
+    A leaf's rows of one id are tied, so id and leaf tell what is taken.
+    """
+    copies = choose(docs, **options).filter("copies > 0")
+    copies = copies.select(
+        F.col("doc_id").alias("taken_id"), *(F.col(x).alias(f"taken_{x}") for x in LEVELS), "copies"
+    ).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("taken_id"))
+    for level, value in leaf_of_row().items():
+        same &= value == F.col(f"taken_{level}")
+    taken = docs.join(settle(copies, "mixing_taken"), same)
     times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("time")
     return taken.select(*docs.columns, times).drop("time")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from itertools import product
 
 import numpy as np
@@ -240,3 +241,18 @@ def test_no_ancestor_is_left_out_on_a_deep_page():
 
 def test_an_unused_feature_has_no_weight(content):
     assert not html.train().weights[0].any()
+
+
+def test_rows_of_one_id_are_taken_leaf_by_leaf(spark):
+    rows = [(i, "one two", "en", source) for i in (None, 1, 2, 3) for source in ("src0", "src1", "src2")]
+    rows += [(9, "w " * 20, "de", "src0"), (9, "one", "de", "src1"), (None, "one", "de", "src1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for percent in (20, 50, 80, 150):
+        chosen = mixing.choose(docs, percent).collect()
+        want = Counter()
+        for r in chosen:
+            want[r.doc_id, r.lang, r.source] += r.copies
+        taken = mixing.mix_documents(docs, percent=percent).collect()
+        assert Counter((r.doc_id, r.lang, r.source) for r in taken) == +want
+        tokens = sum(len(r.text.split()) for r in taken)
+        assert tokens == sum(r.n_tokens * r.copies for r in chosen) <= percent * 47 / 100
