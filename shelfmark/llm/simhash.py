@@ -64,17 +64,18 @@ def fingerprint(text: bytes, shingle: int) -> int:
     return int(np.packbits(over * 2 > last, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, fingerprint (long) for each row of ``docs`` (doc_id, text)."""
+def fingerprints(docs: DataFrame, shingle: int = 3, *carried: str) -> DataFrame:
+    """doc_id, ``carried`` and fingerprint, all long, for each row of ``docs`` (.., text)."""
+    names = ("doc_id", *carried)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "text"):
             found = [fingerprint(x, shingle) for x in utf8(part.column("text"))]
-            yield pa.record_batch(
-                {"doc_id": part.column("doc_id"), "fingerprint": pa.array(found, pa.int64())}
-            )
+            columns = {x: part.column(x) for x in names}
+            yield pa.record_batch({**columns, "fingerprint": pa.array(found, pa.int64())})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fingerprint long")
+    schema = ", ".join(f"{x} long" for x in (*names, "fingerprint"))
+    return docs.select(*names, "text").mapInArrow(run, schema)
 
 
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -265,11 +266,11 @@ def roots(edges: DataFrame) -> DataFrame:
     return found
 
 
-def components(
-    docs: DataFrame, shingle: int = 3, radius: int = 2, largest_bucket: int = LARGEST_BUCKET
+def named_values(
+    prints: DataFrame, radius: int = 2, largest_bucket: int = LARGEST_BUCKET
 ) -> DataFrame:
-    """doc_id, fingerprint (long), component_id for each row of ``docs`` (doc_id, text)."""
-    prints = settle(fingerprints(docs, shingle), "fingerprints")
+    """fingerprint, component_id, and the fingerprint of the component's first row: of its
+    rows of the smallest id, the least."""
     values = prints.groupBy(F.col("fingerprint").alias("value")).agg(
         F.min("doc_id").alias("first")
     )
@@ -278,22 +279,36 @@ def components(
     members = values.join(root, "value", "left").select(
         "value", "first", F.coalesce("root", "value").alias("root")
     )
-    lowest = members.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = members.join(lowest, "root").select(
-        F.col("value").alias("fingerprint"), "component_id"
-    )
+    least = F.min(F.when(F.col("first").isNotNull(), F.struct("first", "value")))
+    lowest = members.groupBy("root").agg(least.alias("least"))
+    return members.join(lowest, "root").select(
+        F.col("value").alias("fingerprint"), F.col("least.first").alias("component_id"),
+        F.col("least.value").alias("first_fingerprint"),
+    )
+
+
+def components(
+    docs: DataFrame, shingle: int = 3, radius: int = 2, largest_bucket: int = LARGEST_BUCKET
+) -> DataFrame:
+    """doc_id, fingerprint (long), component_id for each row of ``docs`` (doc_id, text)."""
+    prints = settle(fingerprints(docs, shingle), "fingerprints")
+    named = named_values(prints, radius, largest_bucket)
     return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
 def keep_first(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
-    """One row of ``docs`` for each component: the one of the smallest id.
+    """One row of ``docs`` for each component: the first by id, fingerprint and row hash.
 
     Rows without an id stay: nothing tells them apart.
     """
-    found = components(docs, shingle, radius)
-    first = found.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(settle(first, "first_of_components"), "doc_id", "left_semi")
-    kept = kept.dropDuplicates(["doc_id"])
+    marked = docs.withColumn("row_mark", F.xxhash64("text", *docs.columns))
+    prints = settle(fingerprints(marked, shingle, "row_mark"), "fingerprints")
+    found = prints.join(named_values(prints, radius), "fingerprint")
+    first = found.filter("doc_id = component_id and fingerprint = first_fingerprint")
+    first = first.groupBy("doc_id", "fingerprint").agg(F.min("row_mark").alias("row_mark"))
+    first = settle(first.select("doc_id", "row_mark"), "first_of_components")
+    kept = marked.join(first, ["doc_id", "row_mark"], "left_semi")
+    kept = kept.dropDuplicates(["doc_id", "row_mark"]).select(*docs.columns)
     return kept.unionByName(docs.filter("doc_id is null"))
 
 

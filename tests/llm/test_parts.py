@@ -256,3 +256,16 @@ def test_rows_of_one_id_are_taken_leaf_by_leaf(spark):
         assert Counter((r.doc_id, r.lang, r.source) for r in taken) == +want
         tokens = sum(len(r.text.split()) for r in taken)
         assert tokens == sum(r.n_tokens * r.copies for r in chosen) <= percent * 47 / 100
+
+
+def test_each_text_of_an_id_has_its_own_cuts_and_component(spark):
+    shared = "".join(chr(97 + (i * i * 7 + i) % 23) for i in range(120))
+    other = "".join(chr(65 + (i * i * 5 + i) % 26) for i in range(300))
+    rows = [(1, f"first {shared}"), (2, shared + "!" + other), (2, other[::-1] + "?" + shared),
+            (2, other[::-1] + "?" + shared), (2, "short"), (3, other[:100])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_bytes, r.kept) for r in suffixes.remove_repeats(docs, as_text=True).collect())
+    kept = [f"first {shared}", "!" + other, other[::-1] + "?", other[::-1] + "?", "short", ""]
+    assert got == Counter((i, len(x), y) for (i, x), y in zip(rows, kept, strict=True))
+    firsts = [(r.doc_id, r.text) for r in simhash.keep_first(docs).collect()]
+    assert sorted(firsts) == sorted(set(rows))
