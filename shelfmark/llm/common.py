@@ -110,8 +110,8 @@ PACKED = "shard int, payload binary"
 def pack_blocks(df: DataFrame, key: str, blocks: int) -> DataFrame:
     """The rows of ``df`` in compressed pieces by block of ``key``: shard, payload.
 
-    Shuffling these moves whole rows at their compressed size. A null key goes to
-    block 0.
+    Shuffling these moves whole rows at their compressed size. A row without a
+    key goes to a block by its text's hash, so that such rows spread.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,14 +127,15 @@ def pack_blocks(df: DataFrame, key: str, blocks: int) -> DataFrame:
                 "payload": pa.array(payloads, pa.binary()),
             })
 
-    block = block_of(key, blocks)
+    spread = F.pmod(F.xxhash64("text"), F.lit(blocks)).cast("int")
+    block = F.coalesce(block_of(key, blocks), spread)
     return df.withColumn("__block", block).mapInArrow(pack, PACKED)
 
 
 def block_of(key: str, blocks: int):
-    """The block of a long key, 0 for null."""
+    """The block of a long key, null for null."""
     mixed = F.col(key).bitwiseXOR(F.shiftrightunsigned(key, 7))
-    return F.coalesce(F.pmod(mixed, F.lit(blocks)), F.lit(0)).cast("int")
+    return F.pmod(mixed, F.lit(blocks)).cast("int")
 
 
 def block_numbers(keys: np.ndarray, blocks: int) -> np.ndarray:

@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from shelfmark.llm import crf, html, induced, mixing, packing, prefixhash, simhash, suffixes, urls
+from shelfmark.llm import common, crf, html, induced, mixing, packing, prefixhash, simhash, suffixes, urls
 
 
 @settings(max_examples=150, deadline=None)
@@ -269,3 +269,12 @@ def test_each_text_of_an_id_has_its_own_cuts_and_component(spark):
     assert got == Counter((i, len(x), y) for (i, x), y in zip(rows, kept, strict=True))
     firsts = [(r.doc_id, r.text) for r in simhash.keep_first(docs).collect()]
     assert sorted(firsts) == sorted(set(rows))
+
+
+def test_rows_without_an_id_spread_over_blocks(spark):
+    docs = spark.createDataFrame([(None, f"text {i}") for i in range(200)], "doc_id long, text string")
+    rows = common.pack_blocks(docs, "doc_id", 7).collect()
+    assert {r.shard for r in rows} == set(range(7))
+    assert sum(common.unpack_batch(r.payload).num_rows for r in rows) == 200
+    left = suffixes.remove_repeats(docs, as_text=True).collect()
+    assert {r.kept for r in left} == {f"text {i}" for i in range(200)}
