@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm import (
     classifier,
+    hilbert,
     html,
     lm,
     mixing,
     packing,
+    periodic,
     prefixhash,
     quality,
     simhash,
     suffixes,
+    toxicity,
     urls,
 )
 from shelfmark.llm.common import DOCUMENTS, LABELS, PAGES, table
@@ -80,6 +83,24 @@ def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html.extract(table(spark, folder, "pages", PAGES))
 
 
+def op11_centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    """Cluster of every vector after ten rounds around eight centroids."""
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding")
+    return hilbert.digest(hilbert.cluster(vectors, k=8, rounds=10, width=64, salt="3:"), vectors)
+
+
+def op12_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, learned from those not held out."""
+    docs = table(spark, folder, "documents", DOCUMENTS)
+    return toxicity.score(docs, toxicity.train(docs, table(spark, folder, "labels", LABELS)))
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of every document's words, and digests of the text without repeats."""
+    docs = table(spark, folder, "documents", DOCUMENTS)
+    return periodic.digest(periodic.detect(docs, periodic.planted))
+
+
 def shipped(query: Callable[[SparkSession, str], DataFrame]):
     """``query`` after bringing the package to the workers."""
 
@@ -95,8 +116,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_quality_rules, op2_packing, op3_simhash_near_dedup, op4_document_fingerprints,
         op5_url_filters, op6_suffix_array_dedup, op7_lm_scoring, op8_quality_classifier,
-        op9_mixing, op10_html_extraction,
+        op9_mixing, op10_html_extraction, op11_centroid_clustering, op12_toxicity,
+        op13_periodic_runs,
     )
 }
 
-ORACLES: dict[str, str] = {"op5_url_filters": urls.oracle(), "op9_mixing": mixing.oracle()}
+ORACLES: dict[str, str] = {
+    "op5_url_filters": urls.oracle(),
+    "op9_mixing": mixing.oracle(),
+    "op11_centroid_clustering": hilbert.oracle(),
+}

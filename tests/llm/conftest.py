@@ -24,7 +24,20 @@ PAGES = [
 PAGE_SCHEMA = "page_id long, url string, html string, text string, rule string"
 
 
-def write(spark, folder, docs, pages, labels):
+WIDE = [float(i % 7) for i in range(64)]
+VECTORS = [
+    (1, [0.5] * 64), (2, [0.5] * 64), (2, [-0.25] * 64), (3, None), (4, [1.0] * 63), (5, [0.1] * 65),
+    (6, [None] + [0.1] * 63), (7, [float("nan")] + [0.1] * 63), (8, [float("inf")] + [0.1] * 63),
+    (None, [0.5001] * 64), (None, WIDE), (9, []), (10, [1e6 + i for i in range(64)]),
+    (11, [-1e6] * 64), (12, WIDE), (13, [0.0005 * i for i in range(64)]), (14, [-0.0] * 64),
+    (15, [0.3] * 64), (16, [0.3] * 64), (17, [3e30] * 64), (18, [-0.9] * 64), (19, [0.7] * 64),
+]
+VECTOR_SCHEMA = "vec_id long, embedding array<float>, label int, place long, row long, cluster int"
+
+
+def write(spark, folder, docs, pages, labels, vectors=()):
+    rows = [(*v, 1, 2, 3, 4) for v in vectors]
+    spark.createDataFrame(rows, VECTOR_SCHEMA).write.parquet(f"{folder}/embeddings.parquet")
     rows = [(*d, None if d[1] is None else len(d[1]), 1, "v", 2, None) for d in docs]
     spark.createDataFrame(rows, DOC_SCHEMA).write.parquet(f"{folder}/documents.parquet")
     pages = [(*p, "t", "r") for p in pages]
@@ -38,7 +51,7 @@ def write(spark, folder, docs, pages, labels):
 def odd(spark, tmp_path_factory):
     labels = [(5, 1, 0, "t"), (3, 1, 0, "t"), (12, 0, 0, "t"), (None, 1, 0, "t"), (99, 0, 0, "t"),
               (12, None, 0, "t")]
-    return write(spark, tmp_path_factory.mktemp("odd"), DOCS, PAGES, labels)
+    return write(spark, tmp_path_factory.mktemp("odd"), DOCS, PAGES, labels, VECTORS)
 
 
 @pytest.fixture(scope="session")

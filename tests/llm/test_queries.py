@@ -46,14 +46,14 @@ def docs(folder, odd, documents):
     return [(d[0], d[1] or "") for d in given(documents, folder, odd)]
 
 
-def test_ten_operators_and_the_pipeline_are_registered():
+def test_all_operators_and_the_pipeline_are_registered():
     import __spark_entry__ as entry
 
-    assert sorted(NAMES) == list(range(1, 11))
+    assert sorted(NAMES) == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= entry.queries().keys()
 
 
-@pytest.mark.parametrize("number", range(1, 11))
+@pytest.mark.parametrize("number", range(1, 14))
 def test_empty_tables_give_no_rows(spark, empty, number):
     assert rows(spark, number, empty) == []
 
@@ -160,8 +160,10 @@ def test_fingerprints_of_edited_texts(spark, folder, docs):
 
 @pytest.mark.parametrize("name", ORACLES)
 def test_sql_gives_the_same_rows(spark, folder, name):
+    if name.startswith("op11") and folder != SF:
+        pytest.skip("vectors beyond a bigint; test_clusters_of_odd_vectors has them")
     con = duckdb.connect()
-    for table in ("documents", "pages", "labels"):
+    for table in ("documents", "pages", "labels", "embeddings"):
         path = f"{folder}/{table}.parquet" + ("/*.parquet" if folder != SF else "")
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{path}')")
     want = con.execute(ORACLES[name])
