@@ -53,12 +53,15 @@ select order_id, {key}, cast(order_date as varchar) as order_date, '{issue}' as
 from raw_orders o where not exists (select 1 from {parent} p where p.{key} = o.{key})""")
 
 
-def report(name: str, raw: str, clean: str, *filled: str) -> str:
+def report(name: str, raw: str, clean: str, *filled: str, kept: str = "") -> str:
+    """``kept`` are the raw rows that cleaning keeps, if it removes any."""
     nulls = " + ".join(f"count(*) filter ({c} is null)" for c in filled) or "0"
     return f"""
 select '{name}' as table_name, a.n as rows_before, b.n as rows_after,
-       a.n - b.n as rows_removed, a.gaps as nulls_before, b.gaps as nulls_after
+       a.n - b.n as rows_removed, a.gaps as nulls_before, b.gaps as nulls_after,
+       k.gaps - b.gaps as filled, cast(0 as bigint) as rejected
 from (select count(*) as n, cast({nulls} as bigint) as gaps from {raw}) a,
+     (select cast({nulls} as bigint) as gaps from {kept or raw}) k,
      (select count(*) as n, cast({nulls} as bigint) as gaps from {clean}) b"""
 
 
@@ -138,10 +141,16 @@ from (select count(*) as n from repaired where email is not null group by email
         " union all ".join(
             (
                 report("regions", "raw_regions", "clean_regions"),
-                report("customers", "raw_customers", "clean_customers", "loyalty_status", "age"),
+                report(
+                    "customers", "raw_customers", "clean_customers", "loyalty_status", "age",
+                    kept="survivors",
+                ),
                 report("products", "raw_products", "clean_products", "cost_price"),
                 report("orders", "raw_orders", "clean_orders", "delivery_time_days"),
-                report("order_details", "raw_lines", "clean_lines", "discount", "profit"),
+                report(
+                    "order_details", "raw_lines", "clean_lines", "discount", "profit",
+                    kept="single_lines",
+                ),
             )
         )
     ),

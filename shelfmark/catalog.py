@@ -44,6 +44,14 @@ class Cleaned:
 
     def __init__(self, raw: RawShop):
         self.raw = raw
+        #: Values filled in each table that was written.
+        self.filled: dict[str, int] = {"regions": 0}
+
+    def _write(self, df: DataFrame, table: str) -> DataFrame:
+        df, counts = audit.count_filled(df, cleaning.FILLED[table])
+        written = settle(df, f"clean_{table}")
+        self.filled[table] = counts.get["filled"]
+        return written
 
     @cached_property
     def _regions(self) -> tuple[DataFrame, DataFrame]:
@@ -51,7 +59,7 @@ class Cleaned:
 
     @cached_property
     def _customers(self) -> tuple[DataFrame, DataFrame]:
-        return cleaning.clean_customers(self.raw.customers)
+        return cleaning.clean_customers(self.raw.customers, counted=True)
 
     @cached_property
     def regions(self) -> DataFrame:
@@ -59,7 +67,7 @@ class Cleaned:
 
     @cached_property
     def customers(self) -> DataFrame:
-        return settle(self._customers[0], "clean_customers")
+        return self._write(self._customers[0], "customers")
 
     @cached_property
     def region_mapping(self) -> DataFrame:
@@ -83,18 +91,18 @@ class Cleaned:
     @cached_property
     def orders(self) -> DataFrame:
         orders = cleaning.clean_orders(
-            self.raw_orders, self.customer_mapping, self.region_mapping
+            self.raw_orders, self.customer_mapping, self.region_mapping, counted=True
         )
-        return settle(orders, "clean_orders")
+        return self._write(orders, "orders")
 
     @cached_property
     def products(self) -> DataFrame:
-        return settle(cleaning.clean_products(self.raw.products), "clean_products")
+        return self._write(cleaning.clean_products(self.raw.products, counted=True), "products")
 
     @cached_property
     def order_details(self) -> DataFrame:
-        lines = cleaning.clean_order_details(self.raw.order_details, self.products)
-        return settle(lines, "clean_order_details")
+        lines = cleaning.clean_order_details(self.raw.order_details, self.products, counted=True)
+        return self._write(lines, "order_details")
 
     @cached_property
     def fact(self) -> DataFrame:
@@ -267,6 +275,7 @@ AUDITS: dict[str, Question] = {
                 t.raw.order_details, t.cleaned.order_details, ["discount", "profit"],
             ),
         },
+        t.cleaned.filled,
     ),
     "aud19_calendar_days": lambda t: audit.row_count(
         star.calendar_of(t.shop.placed_orders), "total_dates"

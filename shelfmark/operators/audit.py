@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from shelfmark.functions.measures import margin_percent, mean, percent, whole_mean
+from shelfmark.operators.clean import GAPS, gaps
 from shelfmark.operators.ranking import exact_percentiles
 
 # What the audits report, and the prices that count as extreme.
@@ -160,22 +161,45 @@ def load_check(fact: DataFrame) -> DataFrame:
     )
 
 
+def count_filled(df: DataFrame, columns: list[str]) -> tuple[DataFrame, Observation]:
+    """``df`` without its mark of gaps, and the values filled, known once it is written.
+
+    ``mark_gaps`` marked its rows when no more were to go, so NULLs of removed rows do
+    not count. The count is taken by the tasks that write, each of which counts once
+    however often it is tried.
+    """
+    counts = Observation()
+    marks = F.col(GAPS) if GAPS in df.columns else gaps(columns)
+    filled = F.coalesce(F.sum(marks - gaps(columns)), F.lit(0)).cast("bigint")
+    return df.observe(counts, filled.alias("filled")).drop(GAPS), counts
+
+
 def cleaning_report(
-    spark: SparkSession, tables: dict[str, tuple[DataFrame, DataFrame, list[str]]]
+    spark: SparkSession,
+    tables: dict[str, tuple[DataFrame, DataFrame, list[str]]],
+    filled: dict[str, int],
+    rejects: DataFrame | None = None,
 ) -> DataFrame:
-    """Rows before, after and removed, and values filled, per cleaned table.
+    """Rows before, after and removed, values filled and rejected, per cleaned table.
 
-    ``tables`` maps a name to (raw, cleaned, columns that cleaning fills). Filled
-    values are the NULLs of the raw column less those left in the cleaned one.
+    ``tables`` maps a name to (raw, cleaned, columns that cleaning fills); NULLs of those
+    are given before and after, removed rows included. ``filled`` is what ``count_filled``
+    counted as the tables were written. ``rejects`` has a row, with its table_name, for
+    each field that did not fit its type.
     """
 
     def nulls(df: DataFrame, columns: list[str]) -> Column:
-        gaps = (F.count_if(F.col(c).isNull()) for c in columns)
-        return reduce(lambda a, b: a + b, gaps, F.lit(0))
+        counts = (F.count_if(F.col(c).isNull()) for c in columns)
+        return reduce(lambda a, b: a + b, counts, F.lit(0))
+
+    def unfit(name: str) -> Column:
+        if rejects is None:
+            return F.lit(0).cast("bigint")
+        return rejects.filter(F.col("table_name") == name).agg(F.count("*")).scalar()
 
-    def one(name: str, raw: DataFrame, clean: DataFrame, filled: list[str]) -> DataFrame:
+    def one(name: str, raw: DataFrame, clean: DataFrame, columns: list[str]) -> DataFrame:
         sides = [
-            df.agg(F.count("*").alias("n"), nulls(df, filled).cast("bigint").alias("gaps"))
+            df.agg(F.count("*").alias("n"), nulls(df, columns).cast("bigint").alias("gaps"))
             for df in (raw, clean)
         ]
         before, after = (side.select(F.struct("n", "gaps")).scalar() for side in sides)
@@ -189,6 +213,8 @@ def cleaning_report(
                 (F.col("before.n") - F.col("after.n")).alias("rows_removed"),
                 F.col("before.gaps").alias("nulls_before"),
                 F.col("after.gaps").alias("nulls_after"),
+                F.lit(filled[name]).cast("bigint").alias("filled"),
+                unfit(name).alias("rejected"),
             )
         )
 

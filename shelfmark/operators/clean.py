@@ -17,6 +17,20 @@ from shelfmark.functions.text import (
 from shelfmark.sources.shared import settle
 
 
+#: The column that ``mark_gaps`` adds.
+GAPS = "gaps_before_filling"
+
+
+def mark_gaps(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Add how many of ``columns`` are NULL in a row, before they are filled."""
+    return df.withColumn(GAPS, gaps(columns))
+
+
+def gaps(columns: list[str]) -> Column:
+    """The number of NULLs among some columns of a row."""
+    return reduce(lambda a, b: a + b, (F.col(c).isNull().cast("int") for c in columns), F.lit(0))
+
+
 def conform(df: DataFrame, column: str, variants: dict[str, str]) -> DataFrame:
     """Replace known spellings of a category; other values pass through."""
     return df.replace(variants, subset=[column])

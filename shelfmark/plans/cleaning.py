@@ -65,6 +65,15 @@ UNKNOWN_LOYALTY = "Unclassified"
 COST_SHARE = 0.70
 
 
+#: The columns that the cleaning of each table fills.
+FILLED = {
+    "customers": ["loyalty_status", "age"],
+    "products": ["cost_price"],
+    "orders": ["delivery_time_days"],
+    "order_details": ["discount", "profit"],
+}
+
+
 @dataclass(frozen=True)
 class Rules:
     """What the cleaning of all five tables can be told; the defaults are the fixed values."""
@@ -96,8 +105,14 @@ def merge_customers(raw: DataFrame, key: str = "email") -> tuple[DataFrame, Data
     return clean.merge_duplicates(raw, [key], "customer_id", earliest)
 
 
+def marked(df: DataFrame, table: str, counted: bool) -> DataFrame:
+    """With the NULLs of each row that are to be filled, if they are to be counted."""
+    return clean.mark_gaps(df, FILLED[table]) if counted else df
+
+
 def clean_customers(
-    raw: DataFrame, na_tokens: tuple[str, ...] = ("",), unknown_loyalty: str = UNKNOWN_LOYALTY
+    raw: DataFrame, na_tokens: tuple[str, ...] = ("",), unknown_loyalty: str = UNKNOWN_LOYALTY,
+    counted: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Repair emails, merge, fill loyalty and age, flag missing signups, title-case.
 
@@ -106,18 +121,20 @@ def clean_customers(
     loyalty = F.col("loyalty_status")
     known = raw.withColumn("loyalty_status", F.when(~loyalty.isin(*na_tokens), loyalty))
     merged, mapping = merge_customers(clean.repair_emails(known))
+    merged = marked(merged, "customers", counted)
     filled = clean.fill_constants(merged, {"loyalty_status": unknown_loyalty})
     filled = clean.fill_group_median(filled, "age", "country")
     flagged = clean.flag_missing(filled, "signup_date", "signup_date_missing")
     return clean.to_title_case(flagged, "country", "city"), mapping
 
 
-def clean_products(raw: DataFrame, rules: Rules = ORIGINAL) -> DataFrame:
+def clean_products(raw: DataFrame, rules: Rules = ORIGINAL, counted: bool = False) -> DataFrame:
     """Conform the stock status and impute missing costs from the unit price.
 
     The imputed cost is a double with all its digits; it becomes a decimal when
     the fact is built.
     """
+    raw = marked(raw, "products", counted)
     status = clean.conform(raw, "stock_status", rules.stock_statuses)
     flagged = clean.flag_missing(status, "cost_price", "cost_price_imputed")
     as_double = flagged.withColumn("cost_price", F.col("cost_price").cast("double"))
@@ -138,13 +155,15 @@ def conform_orders(orders: DataFrame, rules: Rules = ORIGINAL) -> DataFrame:
 
 
 def clean_orders(
-    raw: DataFrame, customer_map: DataFrame, region_map: DataFrame, rules: Rules = ORIGINAL
+    raw: DataFrame, customer_map: DataFrame, region_map: DataFrame, rules: Rules = ORIGINAL,
+    counted: bool = False,
 ) -> DataFrame:
     """Conform categories, fill delivery days by ship mode, re-point merged ids.
 
     The ids play no part in the first two steps. Doing those first lets the pass
     for the medians read the raw orders alone, without the mapping joins.
     """
+    raw = marked(raw, "orders", counted)
     filled = clean.fill_group_median(conform_orders(raw, rules), "delivery_time_days", "ship_mode")
     return repoint_orders(filled, customer_map, region_map)
 
@@ -157,7 +176,10 @@ def drop_duplicate_lines(raw: DataFrame) -> DataFrame:
     return clean.keep_first(raw, keys, order)
 
 
-def clean_order_details(raw: DataFrame, products: DataFrame) -> DataFrame:
+def clean_order_details(
+    raw: DataFrame, products: DataFrame, counted: bool = False
+) -> DataFrame:
     """Drop duplicates, then fill discounts and profits, then flag losses."""
-    priced = clean.fill_constants(drop_duplicate_lines(raw), {"discount": 0})
+    single = marked(drop_duplicate_lines(raw), "order_details", counted)
+    priced = clean.fill_constants(single, {"discount": 0})
     return clean.flag_losses(clean.fill_line_profit(priced, products))

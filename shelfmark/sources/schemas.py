@@ -75,7 +75,14 @@ DIM_DATE = (
     "day_name_short string, is_weekend boolean, is_weekday boolean"
 )
 REJECTS = "table_name string, column_name string, value string"
-WAREHOUSE = {**CLEANED, "fact_sales": FACT_SALES, "dim_date": DIM_DATE, "rejects": REJECTS}
+CLEANING_REPORT = (
+    "table_name string, rows_before bigint, rows_after bigint, rows_removed bigint, "
+    "nulls_before bigint, nulls_after bigint, filled bigint, rejected bigint"
+)
+WAREHOUSE = {
+    **CLEANED, "fact_sales": FACT_SALES, "dim_date": DIM_DATE, "rejects": REJECTS,
+    "cleaning_report": CLEANING_REPORT,
+}
 
 
 def struct(ddl: str) -> StructType:

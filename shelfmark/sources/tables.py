@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, IntegralType, StringType
 
+from shelfmark.sources.records import records_parsed
 from shelfmark.sources.schemas import RAW, struct
 from shelfmark.sources.shared import settle
 
@@ -14,22 +15,30 @@ CORRUPT = "corrupt_record"
 ABSENT = "\1"
 
 
-def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """A CSV file or folder as text columns named by its header, with doubled inner quotes.
 
-    A record with more fields than the header has its text in ``corrupt_record``. Values
-    may hold line breaks unless ``multi_line`` is off, which lets tasks share one file.
+    A record with another number of fields than the header has its text in
+    ``corrupt_record``. Tasks share a file, also one with line breaks in quoted values; its
+    records are then joined from lines and written once, while the DataFrame is being built.
     """
-    reader = (
-        spark.read.option("header", True).option("quote", '"').option("escape", '"')
-        .option("multiLine", multi_line).option("nullValue", ABSENT).option("emptyValue", "")
-    )
-    names = reader.csv(path).columns
+    options = {
+        "quote": '"', "escape": '"', "nullValue": ABSENT, "emptyValue": "",
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT,
+    }
+    def reader(multi_line: bool) -> DataFrameReader:
+        # all columns are parsed, or a record with too many fields would not show
+        return spark.read.options(
+            header=True, multiLine=multi_line, columnPruning=False, **options
+        )
+
+    names = [name.removesuffix("\r") for name in reader(True).csv(path).columns]
     text = ", ".join(f"`{name}` string" for name in [*names, CORRUPT])
-    return (
-        reader.schema(struct(text)).option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT).csv(path)
-    )
+    parse = F.from_csv("record", text, {**options, "multiLine": "true"})
+    found = records_parsed(spark, path, parse)
+    if found is None:
+        found = reader(False).schema(struct(text)).csv(path)
+    return found
 
 
 def typed(text: Column, kind: DataType) -> Column:
@@ -43,9 +52,7 @@ def typed(text: Column, kind: DataType) -> Column:
     return value.try_cast(kind)
 
 
-def load_csv(
-    spark: SparkSession, path: str, schema: str, multi_line: bool = True
-) -> tuple[DataFrame, DataFrame]:
+def load_csv(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """All rows with the columns of ``schema``, and what did not fit: column_name, value.
 
     Columns are found by the header's names, in any order; a missing one is an error. A
@@ -55,7 +62,7 @@ def load_csv(
     queries would find different records corrupt.
     """
     fields = struct(schema).fields
-    text = read_csv(spark, path, multi_line)
+    text = read_csv(spark, path)
     missing = [f.name for f in fields if f.name not in text.columns]
     if missing:
         raise ValueError(f"{path} has no column {', '.join(missing)}")

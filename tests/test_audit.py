@@ -5,7 +5,12 @@ from __future__ import annotations
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
+
 from shelfmark.operators import audit
+from shelfmark.operators.clean import mark_gaps
+from shelfmark.sources import schemas
+from shelfmark.sources.shared import settle
 
 D = Decimal
 
@@ -76,10 +81,22 @@ def test_duplicate_census_ignores_null(spark):
 
 
 def test_cleaning_report(spark):
-    raw = spark.createDataFrame([(1, None), (1, None), (2, 3)], "k int, v int")
-    clean = raw.dropDuplicates().fillna(0)
-    row = audit.cleaning_report(spark, {"t": (raw, clean, ["v"])}).first()
-    assert tuple(row) == ("t", 3, 2, 1, 2, 0)
+    raw = spark.createDataFrame([(1, None), (1, None), (2, 3), (3, None)], "k int, v int")
+    marked = mark_gaps(raw.dropDuplicates(), ["v"]).withColumn("v", F.when(F.col("k") < 3, F.coalesce("v", "k")))
+    clean, counts = audit.count_filled(marked, ["v"])
+    clean = settle(clean, "counted")
+    assert clean.columns == ["k", "v"]
+    filled = {"t": counts.get["filled"]}
+    rejects = spark.createDataFrame([("t", "k", "x"), ("u", "k", "x")], schemas.REJECTS)
+    row = audit.cleaning_report(spark, {"t": (raw, clean, ["v"])}, filled, rejects).first()
+    assert tuple(row) == ("t", 4, 3, 1, 3, 1, 1, 1)  # one of the doubled rows' NULLs was removed
+
+
+def test_nothing_to_fill_counts_nothing(spark):
+    for rows in ([], [(1,)]):
+        df, counts = audit.count_filled(spark.createDataFrame(rows, "k int"), [])
+        df.collect()
+        assert counts.get["filled"] == 0
 
 
 def test_counts(numbers):
