@@ -55,7 +55,7 @@ from raw_orders o where not exists (select 1 from {parent} p where p.{key} = o.{
 
 def report(name: str, raw: str, clean: str, *filled: str, kept: str = "") -> str:
     """``kept`` are the raw rows that cleaning keeps, if it removes any."""
-    nulls = " + ".join(f"count(*) filter ({c} is null)" for c in filled) or "0"
+    nulls = " + ".join(f"count(*) filter ({c} is null)" for c in filled) or "count(*) filter (false)"
     return f"""
 select '{name}' as table_name, a.n as rows_before, b.n as rows_after,
        a.n - b.n as rows_removed, a.gaps as nulls_before, b.gaps as nulls_after,
@@ -246,6 +246,11 @@ from fact"""),
 select {LINE}, f.region_id, coalesce(r.country, 'unknown') as region_country
 from fact f left join clean_regions r on r.region_id = f.region_id"""),
     "fct10_full_name": over_fact(f"select {LINE}, customer_id, customer_full_name from fact"),
+    "fct11_added_month": over_clean_fact("""
+select order_id, order_year, count(*) as lines, cast(sum(revenue) as double) as revenue,
+       cast(sum(shipping_cents) as double) / 100 as shipping_cost,
+       cast(sum(profit) as double) as profit
+from clean_fact group by order_id, order_year"""),
     "fct_from_cleaned": over_clean_fact("""
 select order_year, cast(sum(revenue) as double) as total_revenue,
        cast(sum(profit) as double) as total_profit, count(distinct order_id) as order_count,
@@ -280,6 +285,12 @@ from raw_customers"""),
 select cast(product_id as varchar) as product_id, product_name || ', 12"' as product_name,
        category, subcategory, {DECIMALS.format("unit_price")}, {DECIMALS.format("cost_price")},
        supplier, stock_status
+from raw_products"""),
+    "src06_quoted_line_breaks": over_raw(f"""
+select cast(product_id as varchar) as product_id,
+       product_name || chr(10) || chr(10) || 'second, "line"' || chr(10) as product_name,
+       category, subcategory, {DECIMALS.format("unit_price")}, {DECIMALS.format("cost_price")},
+       '"' || supplier || chr(10) || ',' as supplier, stock_status
 from raw_products"""),
     "src03_mapping_scan": picked(
         "customer_mapping",

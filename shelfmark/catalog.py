@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DecimalType
 
 from shelfmark.operators import audit, clean, star
-from shelfmark.plans import cleaning, questions, revenue
-from shelfmark.sources import schemas, tables
+from shelfmark.plans import cleaning, questions, revenue, warehouse
+from shelfmark.sources import schemas, tables, versions
 from shelfmark.sources.shared import new_table_path, settle
 from shelfmark.sources.shop import RawShop, Shop
 
@@ -166,6 +166,31 @@ class Tables:
         return tables.read_parquet(self.spark, path, schema)
 
 
+    def with_added_month(self) -> DataFrame:
+        """The fact of the cleaned tables, all but the last month built and that added."""
+        clean, target = self.cleaned, new_table_path(self.spark, "warehouse")
+        orders = clean.orders
+        last = orders.agg(F.trunc(F.max("order_date"), "month")).scalar()
+        late = orders.filter(F.col("order_date") >= last)
+        late_lines = clean.order_details.join(late, "order_id", "left_semi")
+        build = versions.Build(self.spark, target)
+        early = orders.filter(F.col("order_date") < last)
+        lines = clean.order_details.join(late, "order_id", "left_anti")
+        for name, df in (
+            ("orders", early), ("order_details", lines), ("customers", clean.customers),
+            ("products", clean.products), ("regions", clean.regions),
+        ):
+            build.write(name, df)
+        fact = star.build_fact_sales(
+            *(build.read(n) for n in ("order_details", "orders", "customers", "products", "regions"))
+        )
+        build.write("fact_sales", fact, cut_by="order_year")
+        build.write("dim_date", star.calendar_of(build.read("fact_sales")))
+        build.publish()
+        now = warehouse.add_sales(self.spark, target, late, late_lines)
+        return versions.read(self.spark, target, "fact_sales", now.tables["fact_sales"])
+
+
 Question = Callable[[Tables], DataFrame]
 
 
@@ -184,6 +209,14 @@ def _quoted(products_: DataFrame) -> DataFrame:
     return products_.withColumn("product_name", F.concat("product_name", F.lit(', 12"')))
 
 
+def _broken(products_: DataFrame) -> DataFrame:
+    """Product names and suppliers with line breaks and quotes."""
+    return products_.withColumns({
+        "product_name": F.concat("product_name", F.lit('\n\nsecond, "line"\n')),
+        "supplier": F.concat(F.lit('"'), "supplier", F.lit("\n,")),
+    })
+
+
 def _known_orders(t: Tables) -> DataFrame:
     return t.raw.placed_orders.join(t.shop.customers, "customer_id", "left_semi")
 
@@ -350,6 +383,12 @@ CONSTRUCTION: dict[str, Question] = {
         "customer_full_name",
         star.full_name(),
     ),
+    "fct11_added_month": lambda t: t.with_added_month().groupBy("order_id", "order_year").agg(
+        F.count("*").alias("lines"),
+        F.sum("revenue").alias("revenue"),
+        F.sum("shipping_cost").alias("shipping_cost"),
+        F.sum("profit").alias("profit"),
+    ),
     "fct_from_cleaned": lambda t: revenue.by_year(t.cleaned.fact),
     "fct_from_cleaned_check": lambda t: audit.load_check(t.cleaned.fact),
 }
@@ -362,6 +401,9 @@ FILES: dict[str, Question] = {
     "src02_quoted_csv": lambda t: t.written(
         _quoted(t.raw.products), "products_csv", schemas.RAW["products"], csv=True
     ),
+    "src06_quoted_line_breaks": lambda t: t.written(
+        _broken(t.raw.products), "products_csv", schemas.RAW["products"], csv=True
+    ),
     "src03_mapping_scan": lambda t: t.written(
         t.cleaned.customer_mapping, "mapping_csv", schemas.CUSTOMER_MAPPING, csv=True
     ),
