@@ -301,3 +301,20 @@ select customer_id, customer_full_name, {money("revenue", "lifetime_revenue")},
 from fact group by customer_id, customer_full_name""")
 BUSINESS["q13_lifetime_revenue"] = LIFETIME
 BUSINESS["q14_lifetime_profit"] = LIFETIME
+
+#: Ordered lists with their positions, and the keys of their order.
+RANKED = {
+    "q11_orders_per_customer": "order_count desc, customer_id",
+    "q13_lifetime_revenue": "lifetime_revenue desc, lifetime_profit desc, customer_id",
+    "q14_lifetime_profit": "lifetime_profit desc, lifetime_revenue desc, customer_id",
+    "q21_products_by_revenue": "total_revenue desc, product_id",
+    "q22_products_by_quantity": "total_quantity desc, product_id",
+    "q23_products_by_profit": "total_profit desc, product_id",
+    "q32_low_stock": "total_revenue desc, product_id",
+    "q34_out_of_stock": "total_revenue desc, product_id",
+    "q37_shipping_share_by_order": "shipping_pct desc nulls last, order_id",
+}
+BUSINESS |= {
+    f"srt01_{name}": f"select *, row_number() over (order by {order}) as position from ({BUSINESS[name]})"
+    for name, order in RANKED.items()
+}

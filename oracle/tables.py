@@ -236,6 +236,37 @@ from shop_orders"""),
 select order_id, cast(sum(shipping_cents) as double) / 100 as allocated,
        cast(sum(revenue) as double) as revenue
 from fact group by order_id"""),
+    "fct03_exact_allocation": over_fact("""
+select order_id, order_detail_id, product_id, cast(revenue as double) as revenue,
+       cast((low + case when place <= amount - given then 1 else 0 end) as double) / 100
+         as shipping_cost
+from (select *, sum(low) over (partition by order_id) as given,
+             row_number() over (partition by order_id
+                                order by rest desc, order_detail_id, revenue desc) as place
+      from (select *, (amount * part) // whole as low, (amount * part) % whole as rest
+            from (select f.order_id, order_detail_id, product_id, revenue,
+                         cast(o.shipping_cost * 100 as hugeint) as amount,
+                         cast(revenue * 100 as hugeint) as part,
+                         sum(cast(revenue * 100 as hugeint)) over (partition by f.order_id) as whole
+                  from fact f join shop_orders o on o.order_id = f.order_id)))"""),
+    "agg03_customers_by_bitmap": over_fact("""
+select 'month' as level, cast(order_year as double) as order_year,
+       cast(order_month as double) as order_month, count(distinct customer_id) as customers
+from fact group by all
+union all
+select 'year', order_year, null, count(distinct customer_id) from fact group by all
+union all
+select 'all', null, null, count(distinct customer_id) from fact"""),
+    "agg07_price_sketches": over_raw("""
+select category, count(unit_price) as n, true as median_within, true as p95_within
+from raw_products group by category"""),
+    "jon03_bucketed_products": over_fact("""
+select category, supplier, count(*) as lines, cast(sum(revenue) as double) as revenue
+from fact f join shop_products p on p.product_id = f.product_id
+group by category, supplier"""),
+    "cln04_chained_ids": over_shop("""
+select customer_id as old_customer_id, customer_id - customer_id % 16 as new_customer_id
+from shop_customers where customer_id % 16 <> 0"""),
     "fct06_flag_counts": over_fact("""
 select count(*) filter (is_loss_sale) as is_loss_sale,
        count(*) filter (is_discounted) as is_discounted,

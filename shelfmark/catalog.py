@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DecimalType
 
-from shelfmark.operators import audit, clean, star
+from shelfmark.operators import audit, clean, distinct, ranking, sketches, star
 from shelfmark.plans import cleaning, questions, revenue, warehouse
-from shelfmark.sources import schemas, tables, versions
+from shelfmark.sources import buckets, schemas, tables, versions
 from shelfmark.sources.shared import new_table_path, settle
 from shelfmark.sources.shop import RawShop, Shop
 
@@ -166,6 +166,13 @@ class Tables:
         return tables.read_parquet(self.spark, path, schema)
 
 
+    def bucketed(self) -> DataFrame:
+        """The fact's revenue with the products' columns, both in buckets of the product."""
+        sold = self.shop.fact.select("product_id", "revenue")
+        lines = buckets.write_bucketed(sold, "product_id", 8, "sold")
+        goods = self.shop.products.select("product_id", "category", "supplier")
+        return lines.join(self.spark, buckets.write_dimension(goods, "product_id", 8, "goods"))
+
     def with_added_month(self) -> DataFrame:
         """The fact of the cleaned tables, all but the last month built and that added."""
         clean, target = self.cleaned, new_table_path(self.spark, "warehouse")
@@ -209,6 +216,21 @@ def _quoted(products_: DataFrame) -> DataFrame:
     return products_.withColumn("product_name", F.concat("product_name", F.lit(', 12"')))
 
 
+SHARES = {"median": 0.5, "p95": 0.95}
+
+
+def _sketched(products_: DataFrame) -> DataFrame:
+    """Whether medians and 95 % points of prices by category, merged from suppliers' sketches,
+    lie within twice the error that 99 of 100 sketches keep to."""
+    fine = settle(sketches.sketch(products_, "unit_price", "category", "supplier"), "sketches")
+    found = settle(sketches.quantiles(sketches.merge(fine, "category"), SHARES), "quantiles")
+    off = sketches.off_by(products_, "unit_price", found, "category", SHARES)
+    within = {f"{name}_within": F.col(name) <= 2 * sketches.rank_error() for name in SHARES}
+    return off.join(found.select("category", "n"), "category").select(
+        "category", "n", *(test.alias(name) for name, test in within.items())
+    )
+
+
 def _broken(products_: DataFrame) -> DataFrame:
     """Product names and suppliers with line breaks and quotes."""
     return products_.withColumns({
@@ -238,6 +260,33 @@ BUSINESS: dict[str, Question] = {
     ),
 }
 
+#: Ordered lists with their positions: the columns that put them in order, "-" for largest first.
+RANKED = {
+    "q11_orders_per_customer": ("-order_count", "customer_id"),
+    "q13_lifetime_revenue": ("-lifetime_revenue", "-lifetime_profit", "customer_id"),
+    "q14_lifetime_profit": ("-lifetime_profit", "-lifetime_revenue", "customer_id"),
+    "q21_products_by_revenue": ("-total_revenue", "product_id"),
+    "q22_products_by_quantity": ("-total_quantity", "product_id"),
+    "q23_products_by_profit": ("-total_profit", "product_id"),
+    "q32_low_stock": ("-total_revenue", "product_id"),
+    "q34_out_of_stock": ("-total_revenue", "product_id"),
+    "q37_shipping_share_by_order": ("-shipping_pct", "order_id"),
+}
+
+
+def _ranked(name: str) -> Question:
+    """The list with each row's position, as the whole table's order gives it."""
+
+    def ask(t: Tables) -> DataFrame:
+        order = [F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in RANKED[name]]
+        placed = ranking.row_numbers(BUSINESS[name](t), order, "position", "all_rows")
+        return placed.drop("all_rows")
+
+    return ask
+
+
+SORTED: dict[str, Question] = {f"srt01_{name}": _ranked(name) for name in RANKED}
+
 AUDITS: dict[str, Question] = {
     "aud01_null_counts": lambda t: audit.null_counts(t.raw.customers),
     "aud02_orders_without_customer": lambda t: audit.orphans(
@@ -363,6 +412,26 @@ CONSTRUCTION: dict[str, Question] = {
     "fct03_shipping_allocation": lambda t: t.shop.fact.groupBy("order_id").agg(
         F.sum("shipping_cost").alias("allocated"), F.sum("revenue").alias("revenue")
     ),
+    "fct03_exact_allocation": lambda t: star.allocate_exactly(
+        t.shop.fact.drop("shipping_cost").join(
+            t.shop.placed_orders.select("order_id", F.col("shipping_cost").alias("order_shipping")),
+            "order_id",
+        ), "order_shipping", "revenue", "order_id", "order_detail_id", "shipping_cost",
+    ).select(*LINE, "revenue", "shipping_cost"),
+    "agg03_customers_by_bitmap": lambda t: _gaps(
+        distinct.distinct_by_month(t.shop.fact, "customer_id", "customers"),
+        "order_year", "order_month",
+    ),
+    "agg07_price_sketches": lambda t: _sketched(t.raw.products),
+    "jon03_bucketed_products": lambda t: t.bucketed().groupBy("category", "supplier").agg(
+        F.count("*").alias("lines"), F.sum("revenue").alias("revenue")
+    ),
+    "cln04_chained_ids": lambda t: clean.follow(
+        t.shop.customers.filter("customer_id % 16 <> 0").select(
+            F.col("customer_id").alias("old_customer_id"),
+            (F.col("customer_id") - 1).alias("new_customer_id"),
+        ), "old_customer_id", "new_customer_id",
+    ),
     "fct06_flag_counts": lambda t: t.shop.fact.agg(
         *(
             F.count_if(flag).alias(flag)
@@ -428,7 +497,7 @@ FILES: dict[str, Question] = {
     ),
 }
 
-QUESTIONS = {**BUSINESS, **AUDITS, **CLEANING, **CONSTRUCTION, **FILES}
+QUESTIONS = {**BUSINESS, **SORTED, **AUDITS, **CLEANING, **CONSTRUCTION, **FILES}
 
 
 def comparable(df: DataFrame) -> DataFrame:

@@ -143,6 +143,39 @@ def repoint(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
     return moved.withColumn(column, F.coalesce(F.col(new), F.col(column))).drop(old, new)
 
 
+class Cycle(ValueError):
+    """Ids that are mapped to each other in a circle, so that none is the last."""
+
+
+def follow(mapping: DataFrame, old: str, new: str) -> DataFrame:
+    """The mapping with every old id sent to the last id of its chain.
+
+    Chains arise where a mapping of one build meets those of later ones. Each round sends
+    an id to where its next one points, so a chain of n steps takes log2(n) rounds, each a
+    join of the mapping with itself, written once. An id that maps to itself is dropped; one
+    with two new ids, or a circle, is an error.
+    """
+    found = settle(mapping.filter(F.col(old) != F.col(new)).select(old, new).distinct(), "mapping")
+    twice = found.groupBy(old).count().filter("count > 1").select(old).limit(1).collect()
+    if twice:
+        raise ValueError(f"{twice[0][0]} is mapped to more than one id")
+    size, steps = found.count(), 1
+    while True:
+        ahead = found.select(F.col(old).alias("via"), F.col(new).alias("next"))
+        joined = found.join(ahead, F.col(new) == F.col("via"), "left")
+        moved = settle(
+            joined.select(old, F.coalesce("next", new).alias(new), F.col("via").isNotNull().alias("on")),
+            "mapping",
+        )
+        on = moved.filter("on").select(old).limit(1).collect()
+        if not on:
+            return moved.select(old, new)
+        steps *= 2
+        if steps > 2 * size:
+            raise Cycle(f"the chain of {on[0][0]} has no end")
+        found = moved.select(old, new)
+
+
 def fill_line_profit(lines: DataFrame, products: DataFrame) -> DataFrame:
     """Recompute a missing profit from the product's prices.
 

@@ -8,6 +8,9 @@ of the earlier slices, one row per slice, are added.
 
 from __future__ import annotations
 
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,6 +103,82 @@ def ntile(df: DataFrame, order: list[Column], tiles: int, name: str) -> DataFram
     return numbered.withColumn(name, tile).drop("position", "all_rows")
 
 
+class Metric(NamedTuple):
+    """A column that is cut into tiles, and whether its largest values come first."""
+
+    column: str
+    largest_first: bool = False
+
+    def order(self) -> Column:
+        column = F.col(self.column)
+        return column.desc() if self.largest_first else column.asc()
+
+    def after(self, value: object) -> Column:
+        """Whether a row's value comes after ``value``; NULL comes before all, or after all."""
+        column = F.col(self.column)
+        if self.largest_first:
+            return F.lit(False) if value is None else column.isNull() | (column < F.lit(value))
+        later = column.isNotNull() if value is None else column > F.lit(value)
+        return F.coalesce(later, F.lit(False))
+
+
+def last_position(tile: int, rows: Column, tiles: int) -> Column:
+    """The last position of a tile, as NTILE deals them."""
+    return tile * F.floor(rows / tiles) + F.least(rows % tiles, F.lit(tile))
+
+
+def tile_ends(df: DataFrame, metric: Metric, key: str, tiles: int) -> list[tuple[object, object]]:
+    """Value and key of the last row of each tile but the last, by the metric, then the key.
+
+    Equal values are counted before they are put in order, and only rows of the values
+    where tiles end are put in order by key, so no whole row shuffles. One row for each
+    tile comes to the driver.
+    """
+    column = metric.column
+    counted = df.groupBy(column).agg(F.count("*").alias("copies"))
+    placed = running_total(counted, [metric.order()], F.col("copies"), "before", "all_rows")
+    ends = F.array(*(last_position(t, F.col("all_rows"), tiles) for t in range(1, tiles)))
+    bounds = (
+        placed.withColumn("end", F.explode(F.array_distinct(ends)))
+        .filter("before < end and end <= before + copies")
+        .orderBy("end")
+        .select(column, "before", "copies", "end")
+        .collect()
+    )
+    earlier: dict[object, int] = {}
+    rows_before = 0
+    for row in bounds:
+        if row[0] not in earlier:
+            earlier[row[0]] = rows_before
+            rows_before += row.copies
+    wanted = [earlier[row[0]] + row.end - row.before for row in bounds]
+    if not wanted:
+        return []
+    held = [F.col(column).eqNullSafe(F.lit(value)) for value in earlier]
+    at_ends = df.filter(reduce(lambda a, b: a | b, held)).select(column, key)
+    numbered = row_numbers(at_ends, [metric.order(), F.col(key).asc()], "position", "all_rows")
+    found = numbered.filter(F.col("position").isin(wanted)).orderBy("position").collect()
+    return [(row[column], row[key]) for row in found]
+
+
+def ntiles(df: DataFrame, metrics: dict[str, Metric], key: str, tiles: int) -> DataFrame:
+    """Add NTILE over the whole table by each metric, ties by ``key``, under the given names.
+
+    A row's tile is the number of tile ends that it comes after, so the rows stay where
+    they are. ``df`` is read several times and should be settled; ``key`` is unique and
+    not NULL. Jobs run while the DataFrame is being built.
+    """
+
+    def tile(metric: Metric) -> Column:
+        found = F.lit(1)
+        for value, last_key in tile_ends(df, metric, key, tiles):
+            tied = F.col(metric.column).eqNullSafe(F.lit(value)) & (F.col(key) > F.lit(last_key))
+            found = found + (metric.after(value) | tied).cast("int")
+        return found.cast("int")
+
+    return df.withColumns({name: tile(metric) for name, metric in metrics.items()})
+
+
 def exact_percentiles(df: DataFrame, column: str, percentiles: dict[str, float]) -> DataFrame:
     """Continuous percentiles of the non-NULL values, in one row.
 

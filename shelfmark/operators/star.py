@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions import dates
+from shelfmark.operators.ranking import row_numbers
 from shelfmark.sources.shared import settle
 
 MONEY = "decimal(10,2)"
@@ -86,6 +87,53 @@ def allocate(amount: Column, part: Column, whole: Column) -> Column:
     return (amount * F.try_divide(part, whole)).cast(MONEY)
 
 
+#: Lines of an order up to which one task shares the order's amount among them.
+LINES_IN_A_TASK = 100_000
+
+
+def allocate_exactly(
+    lines: DataFrame, amount: str, part: str, order: str, line: str, name: str,
+    lines_in_a_task: int = LINES_IN_A_TASK,
+) -> DataFrame:
+    """Add ``name``: each line's share of its order's amount, adding up to it to the cent.
+
+    A line first gets its share rounded down; the cents left go one each to the lines with
+    the largest remainders, equal ones by line id. Shares and remainders are whole numbers.
+    Lines of larger orders than a task should hold are put in order by all tasks; both
+    ways give the same shares. NULL where the parts of an order do not add up to more than
+    nothing, or the amount is unknown. A NULL part gets nothing.
+    """
+    cents = {c: (F.col(c) * 100).cast("decimal(18,0)") for c in (amount, part)}
+    whole, product = F.col("whole_cents"), (cents[amount] * F.coalesce(cents[part], F.lit(0)))
+    sized = settle(
+        lines.groupBy(order).agg(
+            F.sum(cents[part]).cast("decimal(18,0)").alias("whole_cents"),
+            F.count("*").alias("order_lines"),
+        ), "order_sizes",
+    )
+    rest = F.when(whole > 0, F.pmod(product, whole.cast("decimal(38,0)")))
+    base = lines.join(sized, order).withColumn("rest", rest).withColumn(
+        "low", F.when(whole > 0, ((product - F.col("rest")) / whole).cast("decimal(18,0)"))
+    )
+    by = [F.col("rest").desc(), F.col(line).asc(), F.col(part).desc()]
+    is_large = F.col("order_lines") > lines_in_a_task
+    place = F.row_number().over(Window.partitionBy(order).orderBy(*by))
+    placed = base.filter(~is_large).withColumn("place", place.cast("bigint"))
+    if not sized.filter(is_large).isEmpty():
+        large = row_numbers(
+            base.filter(is_large), [F.col(order).asc(), *by], "place", "all_rows"
+        ).drop("all_rows")
+        large = settle(large, "large_orders")
+        first = large.groupBy(order).agg(F.min("place").alias("first_place"))
+        # a row for each order of more than ``lines_in_a_task`` lines
+        large = large.join(first, order).withColumn("place", F.col("place") - F.col("first_place") + 1)
+        placed = placed.unionByName(large.drop("first_place"))
+    given = base.groupBy(order).agg(F.sum("low").alias("given"))
+    left = cents[amount] - F.col("given")
+    share = (F.col("low") + (F.col("place") <= left).cast("int")) / 100
+    return placed.join(given, order).withColumn(name, share.cast(MONEY)).select(*lines.columns, name)
+
+
 def line_measures() -> dict[str, Column]:
     quantity = F.col("quantity").cast("decimal(10,0)")
     gross = F.col("unit_price") * quantity
@@ -161,12 +209,15 @@ def build_fact_sales(
     profit: Column | None = None,
     high_value: float = HIGH_VALUE,
     bulk_quantity: int = BULK_QUANTITY,
+    exact_shipping: bool = False,
 ) -> DataFrame:
     """One row per order line whose order, customer, region and product exist.
 
     ``profit`` replaces the lines' own column by an expression over the line
     and its product, for sources that do not carry it. Orders that carry an
-    ``order_total`` keep it; for others the lines are summed here.
+    ``order_total`` keep it; for others the lines are summed here. Each line's shipping is
+    its share of the order's, rounded; with ``exact_shipping`` the shares of an order's
+    lines in the fact add up to it (``allocate_exactly``).
 
     No side is forced to broadcast: small dimensions are, by Spark's size
     threshold, and large ones shuffle. The order side is settled first, so each
@@ -189,11 +240,18 @@ def build_fact_sales(
     )
     money = {} if profit is None else {"profit": profit.cast(MONEY)}
     share = allocate(F.col("shipping_cost"), F.col("revenue"), F.col("order_total"))
+    joined = lines.join(side, "order_id").join(goods, "product_id")
+    joined = joined.withColumnRenamed("total_price", "revenue")
+    if exact_shipping:
+        joined = allocate_exactly(
+            settle(joined, "joined_lines"), "shipping_cost", "revenue", "order_id",
+            "order_detail_id", "exact_share",
+        )
+        share = F.col("exact_share")
     return (
-        lines.join(side, "order_id")
-        .join(goods, "product_id")
-        .withColumnRenamed("total_price", "revenue")
-        .withColumns({**order_date_parts(), **line_measures(), **money, "shipping_cost": share})
+        joined.withColumns(
+            {**order_date_parts(), **line_measures(), **money, "shipping_cost": share}
+        )
         .withColumns({"profit_margin": guarded_margin(), **line_flags(high_value, bulk_quantity)})
         .select(*FACT_COLUMNS)
     )

@@ -15,7 +15,8 @@ from shelfmark.functions.measures import (
     ratio,
     whole_mean,
 )
-from shelfmark.operators.ranking import ntile
+from shelfmark.operators.ranking import Metric, ntile, ntiles
+from shelfmark.sources.shared import settle
 
 # Upper bounds of the discount and churn classes, with their labels.
 DISCOUNT_CLASSES = ((0.10, "1-10%"), (0.20, "11-20%"), (0.30, "21-30%"))
@@ -175,7 +176,8 @@ def churn(
 def rfm(fact: DataFrame, as_of: Column | None = None, tiles: int = 5) -> DataFrame:
     """Recency, frequency and monetary value per customer, each as a tile.
 
-    Tile 1 is best: the latest, most frequent and largest buyers.
+    Tile 1 is best: the latest, most frequent and largest buyers. The customers shuffle
+    once, in their aggregate; the tiles come from the values where tiles end.
     """
     buyers = fact.groupBy("customer_id").agg(
         F.max("order_date").alias("last_order"),
@@ -184,10 +186,12 @@ def rfm(fact: DataFrame, as_of: Column | None = None, tiles: int = 5) -> DataFra
     )
     day = fact.agg(F.max("order_date")).scalar() if as_of is None else as_of
     scored = buyers.withColumn("recency_days", F.datediff(day, "last_order")).drop("last_order")
-    by_id = F.col("customer_id").asc()
-    scored = ntile(scored, [F.col("recency_days").asc(), by_id], tiles, "recency_tile")
-    scored = ntile(scored, [F.col("frequency").desc(), by_id], tiles, "frequency_tile")
-    return ntile(scored, [F.col("monetary").desc(), by_id], tiles, "monetary_tile")
+    metrics = {
+        "recency_tile": Metric("recency_days"),
+        "frequency_tile": Metric("frequency", largest_first=True),
+        "monetary_tile": Metric("monetary", largest_first=True),
+    }
+    return ntiles(settle(scored, "buyers"), metrics, "customer_id", tiles)
 
 
 def cohort_retention(fact: DataFrame) -> DataFrame:
