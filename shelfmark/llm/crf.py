@@ -32,14 +32,18 @@ def emissions(field: Field, features: np.ndarray) -> np.ndarray:
     return field.weights[features].sum(axis=1)
 
 
-def viterbi(field: Field, features: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+def viterbi(
+    field: Field, features: np.ndarray, lengths: np.ndarray, kind: np.ndarray | None = None
+) -> np.ndarray:
     """The best label of each position of the sequences laid end to end.
 
-    Of equally good sequences the one with lower labels, from the last position on.
+    Of equally good sequences the one with lower labels, from the last position on. With
+    ``kind``, positions have the features of that row.
     """
     score = emissions(field, features)
+    score = score if kind is None else score[kind]
     offset = np.cumsum(lengths) - lengths
-    out = np.zeros(len(features), np.int64)
+    out = np.zeros(len(score), np.int64)
     for group in by_length(lengths):
         n = int(lengths[group[0]])
         at = offset[group]
@@ -62,12 +66,17 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 def gradient(
-    field: Field, features: np.ndarray, labels: np.ndarray, lengths: np.ndarray
+    field: Field, features: np.ndarray, labels: np.ndarray, lengths: np.ndarray,
+    kind: np.ndarray | None = None,
 ) -> tuple[float, Field]:
-    """Log likelihood of the labels, and its gradient, by forward and backward sums."""
+    """Log likelihood of the labels, and its gradient, by forward and backward sums.
+
+    With ``kind``, positions have the features of that row.
+    """
     k = len(field.starts)
     score = emissions(field, features)
-    marginal = np.zeros((len(features), k))
+    score = score if kind is None else score[kind]
+    marginal = np.zeros((len(score), k))
     moves, starts, total = np.zeros((k, k)), np.zeros(k), 0.0
     offset = np.cumsum(lengths) - lengths
     for group in by_length(lengths):
@@ -93,6 +102,8 @@ def gradient(
     error = -marginal
     error[np.arange(len(labels)), labels] += 1
     weights = np.zeros_like(field.weights)
+    if kind is not None:
+        error = np.stack([np.bincount(kind, error[:, i], len(features)) for i in range(k)], axis=1)
     for slot in range(features.shape[1]):
         np.add.at(weights, features[:, slot], error)
     return float(total), Field(weights, moves, starts)
@@ -101,7 +112,7 @@ def gradient(
 def train(
     features: np.ndarray, labels: np.ndarray, lengths: np.ndarray, n_features: int,
     n_labels: int = 2, rounds: int = 60, rate: float = 0.2, decay: float = 1e-3,
-    unused: int | None = None,
+    unused: int | None = None, kind: np.ndarray | None = None,
 ) -> Field:
     """Weights by gradient ascent with per-weight steps (Adam), on the mean likelihood.
 
@@ -114,12 +125,12 @@ def train(
     mean = {p: np.zeros_like(getattr(field, p)) for p in parts}
     square = {p: np.zeros_like(getattr(field, p)) for p in parts}
     for turn in range(1, rounds + 1):
-        _, slope = gradient(field, features, labels, lengths)
+        _, slope = gradient(field, features, labels, lengths, kind)
         if unused is not None:
             slope.weights[unused] = 0
         for p in parts:
             value = getattr(field, p)
-            g = getattr(slope, p) / len(features) - decay * value
+            g = getattr(slope, p) / len(labels) - decay * value
             mean[p] = 0.9 * mean[p] + 0.1 * g
             square[p] = 0.99 * square[p] + 0.01 * g * g
             step = mean[p] / (1 - 0.9**turn) / (np.sqrt(square[p] / (1 - 0.99**turn)) + 1e-8)

@@ -205,7 +205,8 @@ def content():
 
     def run(page):
         found = html.blocks(page)
-        label = crf.viterbi(field, html.features(found, numbers), np.array([len(found)]))
+        slots, kind = html.features(found, numbers)
+        label = crf.viterbi(field, slots, np.array([len(found)]), kind)
         return [text for (text, *_), keep in zip(found, label, strict=True) if keep]
 
     return run
@@ -232,11 +233,60 @@ def test_names_that_training_lacks_say_nothing(content, body, wrap, small):
 
 
 def test_no_ancestor_is_left_out_on_a_deep_page():
-    numbers = html.feature_numbers()
-    names = [f"<div class={n}>" for n in (*html.ASIDE_NAMES, *html.MAIN_NAMES)]
-    found = html.blocks("".join(names) + "text")
-    kept = set(html.features(found, numbers)[0].tolist())
-    assert {numbers[n] for n in (*html.ASIDE_NAMES, *html.MAIN_NAMES)} <= kept
+    names = (*html.ASIDE_NAMES, *html.MAIN_NAMES)
+    (_, place, _), = html.blocks("".join(f"<div class={n}>" for n in names) + "text")
+    assert place.near | place.next | place.outer == set(names)
+    assert place.near == {names[-1]} and place.next == {names[-2]}
+
+
+LONG = "The river rose again last night and the old bridge was closed to all traffic."
+BODY = f"<h2>Bridge closed</h2><p>{LONG}</p><p>{LONG} {LONG}</p>"
+WANT = ["Bridge closed", LONG, f"{LONG} {LONG}"]
+
+
+@pytest.mark.parametrize("name", html.ASIDE_NAMES)
+def test_an_article_stays_one_in_any_frame(content, name):
+    for page in (
+        f'<div class="{name}"><article>{BODY}</article></div>',
+        f'<body><div id="{name}-page"><div class="row {name}"><article>{BODY}</article></div></div>',
+        f'<div class="page {name}"><nav><a href="/">Home</a></nav><main>{BODY}</main></div>',
+    ):
+        assert content(page) == WANT, page
+    if name not in html.REPLIES:
+        assert content(f'<main class="{name}-open share"><article>{BODY}</article></main>') == WANT
+        assert content(f'<article class="post {name}">{BODY}</article>') == WANT
+
+
+@pytest.mark.parametrize("name", html.ASIDE_NAMES)
+def test_asides_of_any_name_go(content, name):
+    aside = f'<div class="{name}"><h3>More of it</h3><p>{LONG}</p></div>'
+    for page in (f"<article>{BODY}{aside}</article>", f"<body>{aside}<main>{BODY}</main>",
+                 f"<main><article>{BODY}</article>{aside}</main>"):
+        assert content(page) == WANT, page
+
+
+def test_pages_without_any_name(content):
+    links = "<div><ul><li><a href='/a'>One</a></li><li><a href='/b'>Two</a></li></ul></div>"
+    assert content(f"<body>{links}<div>{BODY}</div></body>") == WANT
+    assert content(f"<div><div>{BODY}</div></div>") == WANT
+    assert content(BODY) == WANT
+
+
+def test_readers_comments_go(content):
+    for name in html.REPLIES:
+        other = f'<article class="{name}"><p>{LONG}</p></article>'
+        assert content(f"<article>{BODY}<section>{other}{other}</section></article>") == WANT
+
+
+@pytest.mark.parametrize("unit", ["<div>a", "<b>a<hr>", "<div>a</span>", "<div><input>", "<div><td>a", "<x{}>a",
+                                  "<p><b>a", "<div class=w{}>a", "<li><div>a", "<a>a"])
+def test_time_grows_with_the_page(unit):
+    import time
+
+    page = "".join(unit.format(i) for i in range(300_000 // len(unit)))
+    start = time.process_time()
+    assert html.blocks(page) or unit == "<div><input>"
+    assert time.process_time() - start < 5
 
 
 def test_an_unused_feature_has_no_weight(content):
