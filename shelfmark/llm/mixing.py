@@ -4,7 +4,9 @@ Documents are the leaves' tokens of a tree domain - language - source. A budget
 down the tree: a node's children share it by their weights, and a child that cannot use
 its share (its tokens times ``epochs``) leaves the rest to its siblings by their weights.
 A node never gets more than its children can use, so a shortage is made up among
-siblings before it reaches an ancestor. Shares are whole tokens and add up exactly.
+siblings before it reaches an ancestor. What lies under a weight of 0 cannot be used.
+Shares are whole tokens and add up exactly. Weights may be whole numbers, fractions or
+decimals; a level's are made whole by their common denominator, so none is rounded.
 
 A leaf takes whole epochs while its budget holds them, and of the next epoch the prefix
 of its documents, in an order seeded for that epoch, whose tokens stay within the rest.
@@ -21,6 +23,11 @@ no rows; a node without a named weight has weight 1, one of weight 0 gets nothin
 
 from __future__ import annotations
 
+from fractions import Fraction
+from functools import reduce
+from math import lcm
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,9 +64,25 @@ def leaf_of_row() -> dict[str, Column]:
     }
 
 
-def weight_of(level: str, weights: dict[str, dict[str, int]]) -> Column:
-    named = F.lit(1).cast("decimal(10,0)")
-    for value, weight in weights.get(level, {}).items():
+def whole_weights(weights: dict[str, dict]) -> dict[str, dict]:
+    """Each level's weights times their common denominator; None is the weight of others."""
+    found = {}
+    for level in LEVELS:
+        named = {None: 1, **weights.get(level, {})}
+        exact = {name: Fraction(str(weight)) for name, weight in named.items()}
+        common = lcm(*(x.denominator for x in exact.values()))
+        found[level] = {name: int(x * common) for name, x in exact.items()}
+        if any(not 0 <= x < 10**10 for x in found[level].values()):
+            raise ValueError(f"weights of {level} are negative or too far apart: {named}")
+    return found
+
+
+def weight_of(level: str, weights: dict[str, dict[str | None, int]]) -> Column:
+    """The whole weight of a row's node."""
+    named = F.lit(weights[level][None]).cast("decimal(10,0)")
+    for value, weight in weights[level].items():
+        if value is None:
+            continue
         named = F.when(F.col(level) == value, F.lit(weight).cast("decimal(10,0)")).otherwise(named)
     return named
 
@@ -67,7 +90,7 @@ def weight_of(level: str, weights: dict[str, dict[str, int]]) -> Column:
 def share(children: DataFrame, parents: list[str], level: str, weights: dict) -> DataFrame:
     """``children`` (.., room, budget of the parent) with their own budget."""
     within = Window.partitionBy(*parents)
-    order = within.orderBy(F.expr("cast(room as double) / greatest(weight, 0.5)"), level)
+    order = within.orderBy(F.expr("cast(room as double) / greatest(cast(weight as double), 0.5)"), level)
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     on = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -93,7 +116,9 @@ def share(children: DataFrame, parents: list[str], level: str, weights: dict) ->
 
 def budgets(leaves: DataFrame, percent: int, epochs: int, weights: dict) -> DataFrame:
     """``leaves`` (levels, supply) with the budget of each, from the root down."""
-    room = F.sum("supply").cast("decimal(20,0)") * epochs
+    weights = whole_weights(weights)
+    can = reduce(and_, (weight_of(level, weights) > 0 for level in LEVELS))
+    room = F.sum(F.when(can, F.col("supply")).otherwise(0)).cast("decimal(20,0)") * epochs
     total = leaves.agg(
         F.expr(f"(coalesce(sum(supply), 0) * least({percent}, {100 * epochs})) div 100")
         .cast("decimal(20,0)").alias("budget")
@@ -181,9 +206,13 @@ def oracle(
 ) -> str:
     """The same choice as DuckDB SQL."""
 
+    whole = whole_weights(weights)
+
     def case(level: str) -> str:
-        named = " ".join(f"WHEN {level} = '{k}' THEN {v}" for k, v in weights.get(level, {}).items())
-        return f"CASE {named} ELSE 1 END" if named else "1"
+        named = " ".join(f"WHEN {level} = '{k}' THEN {v}" for k, v in whole[level].items() if k)
+        return f"CASE {named} ELSE {whole[level][None]} END" if named else str(whole[level][None])
+
+    can = " AND ".join(f"{case(level)} > 0" for level in LEVELS)
 
     steps, parents = [], []
     for level in LEVELS:
@@ -193,7 +222,7 @@ def oracle(
         steps.append(f"""
 c_{level} AS (SELECT *, CASE WHEN weight = 0 THEN 0 ELSE room0 END AS room FROM (
   SELECT {keys}, room0, budget, {case(level)} AS weight
-  FROM (SELECT {keys}, sum(supply)::HUGEINT * {epochs} AS room0 FROM leaf GROUP BY {keys}) {source})),
+  FROM (SELECT {keys}, sum(CASE WHEN {can} THEN supply ELSE 0 END)::HUGEINT * {epochs} AS room0 FROM leaf GROUP BY {keys}) {source})),
 u_{level} AS (SELECT *,
   coalesce(sum(room) OVER ({of} ORDER BY room0::DOUBLE / greatest(weight, 0.5), {level}
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::HUGEINT AS used,
