@@ -225,6 +225,10 @@ def links(values: DataFrame, radius: int = 2, largest_bucket: int = LARGEST_BUCK
     return bucket_links(small, radius).unionByName(neighbour_links(large, radius)).distinct()
 
 
+#: Rounds in which links must be gone; each leaves at most a constant part of them.
+MOST_ROUNDS = 200
+
+
 def roots(edges: DataFrame) -> DataFrame:
     """value, root: the same root for all values that ``edges`` (a, b) connect.
 
@@ -233,10 +237,11 @@ def roots(edges: DataFrame) -> DataFrame:
     each round, so lineage stays short.
     """
     edges = settle(edges, "links")
-    found = None
-    for turn in range(64):
-        if edges.isEmpty():
-            break
+    found, turn = None, 0
+    while not edges.isEmpty():
+        turn += 1
+        if turn > MOST_ROUNDS:
+            raise RuntimeError(f"links are left after {MOST_ROUNDS} rounds")
         both = edges.select("a", "b").union(edges.select("b", "a"))
         order = F.struct(F.xxhash64("b", F.lit(turn)).alias("h"), F.col("b").alias("v"))
         best = both.groupBy("a").agg(F.min(order).alias("low")).select(
