@@ -2,7 +2,9 @@
 
 A text's lines are a sequence; each is content or boilerplate. The field is trained on a
 bounded sample of labelled documents (``SAMPLE`` of each quality), whose lines have the
-label of their document, and Viterbi decoding labels all lines of every text. A text is
+label of their document. Since such lines never change their label, documents of both
+kinds are spliced, one within the other, and trained on too: that teaches the field where
+content ends and boilerplate begins. Viterbi decoding labels all lines of every text. A text is
 kept if its content lines hold at least ``CONTENT_SHARE`` of the bytes in its words, and
 the base rules do not fail it.
 
@@ -51,7 +53,8 @@ CUTS = {
 }
 WIDTHS = [len(x) + 1 for x in CUTS.values()]
 OFFSETS = np.cumsum([0, *WIDTHS])
-FLAGS = 4
+#: A line's flags: equal to an earlier line, ends a sentence, first, last.
+FLAGS, FIRST, LAST = 4, 2, 3
 N_FEATURES = int(OFFSETS[-1]) + 2 * FLAGS + 1
 MARKS = re.compile(rb"!!|\?\?|\.\.\.")
 
@@ -157,9 +160,30 @@ def train_lines(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> crf
     slots = [np.frombuffer(r.slots, "<i2").reshape(-1, width) for r in rows]
     if len({r.quality for r in rows}) < 2:
         return None
-    lengths = np.array([len(x) for x in slots])
-    label = np.repeat([r.quality for r in rows], lengths)
-    return crf.train(np.concatenate(slots).astype(np.int64), label, lengths, N_FEATURES)
+    sequences = [(x, np.full(len(x), r.quality)) for x, r in zip(slots, rows, strict=True)]
+    kinds = [[x for x, r in zip(slots, rows, strict=True) if r.quality == q] for q in (1, 0)]
+    shorter, longer = sorted(kinds, key=len)
+    for i, one in enumerate(longer):
+        other = shorter[i % len(shorter)]
+        sequences += spliced(*((one, other) if longer is kinds[0] else (other, one)))
+    lengths = np.array([len(x) for x, _ in sequences])
+    features = np.concatenate([x for x, _ in sequences]).astype(np.int64)
+    return crf.train(features, np.concatenate([y for _, y in sequences]), lengths, N_FEATURES)
+
+
+def spliced(good: np.ndarray, bad: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Feature numbers and labels of each document's lines around the other's."""
+    found = []
+    for outer, inner, label in ((good, bad, 1), (bad, good, 0)):
+        cut = (len(outer) + 1) // 2
+        slots = np.concatenate([outer[:cut], inner, outer[cut:]])
+        for flag, at in ((FIRST, 0), (LAST, len(slots) - 1)):
+            slots[:, len(CUTS) + flag] = OFFSETS[-1] + 2 * flag
+            slots[at, len(CUTS) + flag] += 1
+        labels = np.full(len(slots), label)
+        labels[cut : cut + len(inner)] = 1 - label
+        found.append((slots, labels))
+    return found
 
 
 NAMES = (
