@@ -76,15 +76,21 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def learn(rows: list[tuple[np.ndarray, np.ndarray, int]], turns: int = TURNS) -> np.ndarray:
-    """Weights after FTRL over (features, values, label); the last weight is the bias."""
+    """Weights after FTRL over (features, values, label); the last weight is the bias.
+
+    Both labels weigh the same in all, however rare one is, so that a score says which
+    is likelier by the text and not by how many there are.
+    """
     size = (1 << BITS) + 1
+    many = [max(1, sum(label == k for *_, label in rows)) for k in (0, 1)]
+    share = [len(rows) / (2 * n) for n in many]
     z, n = np.zeros(size), np.zeros(size)
     for _ in range(turns):
         for slot, value, label in rows:
             slot, value = np.append(slot, size - 1), np.append(value, 1.0)
             w = weights_of(z[slot], n[slot])
             p = 1 / (1 + np.exp(-np.clip(w @ value, -35, 35)))
-            g = (p - label) * value
+            g = share[label] * (p - label) * value
             more = n[slot] + g * g
             z[slot] += g - (np.sqrt(more) - np.sqrt(n[slot])) / ALPHA * w
             n[slot] = more
