@@ -12,7 +12,7 @@ from pyspark.sql.types import DateType, DecimalType
 from shelfmark.operators import audit, clean, distinct, ranking, sketches, star
 from shelfmark.plans import cleaning, questions, revenue, warehouse
 from shelfmark.sources import buckets, schemas, tables, versions
-from shelfmark.sources.shared import new_table_path, settle
+from shelfmark.sources.shared import new_table_path, settle, stamp
 from shelfmark.sources.shop import RawShop, Shop
 
 # Parameters of the questions for these tables; the functions' own defaults fit
@@ -511,15 +511,15 @@ def comparable(df: DataFrame) -> DataFrame:
     )
 
 
-_open: dict[tuple[str, str], Tables] = {}
+_open: dict[tuple[str, str], tuple[tuple, Tables]] = {}
 
 
 def tables_of(spark: SparkSession, folder: str) -> Tables:
-    """The tables of a directory, kept for the life of the Spark application."""
-    key = (spark.conf.get("spark.app.id", "app"), folder)
-    if key not in _open:
-        _open[key] = Tables(spark, folder)
-    return _open[key]
+    """The tables of a directory, kept for the Spark application while its files stay."""
+    key, now = (spark.conf.get("spark.app.id", "app"), folder), stamp(spark, folder)
+    if key not in _open or _open[key][0] != now:
+        _open[key] = now, Tables(spark, folder)
+    return _open[key][1]
 
 
 def answer(name: str, spark: SparkSession, folder: str) -> DataFrame:

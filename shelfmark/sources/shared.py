@@ -47,6 +47,16 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stamp(spark: SparkSession, folder: str) -> tuple[tuple[str, int, int], ...]:
+    """Path, size and time of change of every file below a folder: other if its data are."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found, files = [], root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True)
+    while files.hasNext():
+        status = files.next()
+        found.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    return tuple(sorted(found))
+
+
 def release(spark: SparkSession) -> None:
     """Delete all tables that this application settled; their DataFrames are lost."""
     app = spark.conf.get("spark.app.id", "app")

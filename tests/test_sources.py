@@ -6,6 +6,7 @@ from decimal import Decimal
 
 import pytest
 
+from shelfmark import catalog
 from shelfmark.sources import schemas, shared, tables
 
 
@@ -77,3 +78,15 @@ def test_settled_table_keeps_rows_and_schema(spark):
     again = shared.settle(df, "t")
     assert again.dtypes == df.dtypes and again.exceptAll(df).count() == 0
     assert "Range" not in again._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tables_are_opened_anew_when_their_files_change(spark, tmp_path):
+    for name in ("region", "nation"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    first = catalog.tables_of(spark, str(tmp_path))
+    assert catalog.tables_of(spark, str(tmp_path)) is first
+    rows = first.shop.regions.count()
+    few = spark.read.parquet("/root/testdata/sf0.001/nation.parquet").filter("n_nationkey < 5")
+    few.write.mode("overwrite").parquet(f"{tmp_path}/nation.parquet")
+    again = catalog.tables_of(spark, str(tmp_path))
+    assert rows == 25 and again is not first and again.shop.regions.count() == 5
