@@ -249,7 +249,9 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
         F.lit(None).cast("long").alias("doc_id"), "text", F.col("before").alias("part"),
         F.lit(True).alias("follows"),
     )
-    rows = ranged.withColumn("follows", F.lit(False)).unionByName(ends).repartition(ranges, "part")
+    rows = ranged.withColumn("follows", F.lit(False)).unionByName(ends)
+    # each range is a task of its own, which hashing the ranges' numbers would not give
+    rows = rows.repartitionById(ranges, F.col("part").cast("int"))
     order = ("part", "follows", F.desc_nulls_last("doc_id"), "text")
     return rows.sortWithinPartitions(*order).mapInArrow(run, SCHEMA)
 
