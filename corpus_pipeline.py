@@ -3,6 +3,12 @@
 Each stage takes what the one before it kept, written as Parquet and read again, and all
 but the last return the columns of documents. The mix asks for ``MIX_PERCENT`` of the
 tokens that reach it, a document once at most.
+
+Defined cases: a null, empty or very short text fails the base rules and goes; rows without
+an id stay through near-duplicates and repeats and are mixed as rows of their leaf; of
+repeated rows one stays, the first by id, fingerprint and text; a text is taken whole,
+however long; an empty table gives empty tables at every stage; other columns are left
+out, whatever they are called.
 """
 
 from __future__ import annotations
