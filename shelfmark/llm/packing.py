@@ -17,7 +17,8 @@ the tokenizer's own splitting never joins across white space. Words of plain let
 to its vocabulary directly, all others through its whole pipeline.
 
 Defined cases: a null or empty text is the end id alone; a null doc_id stays null;
-repeated rows are packed each; an empty table gives no rows.
+repeated rows are packed each; an empty table gives no rows; bytes that are no text are
+encoded as replacement characters.
 """
 
 from __future__ import annotations
@@ -78,7 +79,7 @@ class Encoder:
         known, marks = self.known, {m: self.part(m) for m in ".,"}
         out: list[list[int] | None] = []
         others, places = [], []
-        for text in b" ".join(words).decode().split(" ") if words else ():
+        for text in b" ".join(words).decode(errors="replace").split(" ") if words else ():
             mark = marks.get(text[-1])
             core = text[:-1] if mark else text
             if core.isascii() and core.isalpha() or PLAIN.fullmatch(core):

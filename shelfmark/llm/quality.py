@@ -11,7 +11,8 @@ the base rules do not fail it.
 Defined cases: a null or empty text has no words and fails the base rules; lines without
 a word have no label and count nowhere; without labelled rows of both kinds every line
 is content; a document labelled more than once counts by each of its labels; repeated
-rows have equal results; labels of unknown documents are not used.
+rows have equal results; labels of unknown documents are not used; bytes that are no text
+are words like others, a code point for each broken run.
 """
 
 from __future__ import annotations
@@ -192,6 +193,11 @@ NAMES = (
 )
 
 
+def points_of(words: list[bytes]) -> int:
+    """Code points of all words; bytes that are no text count as one for each broken run."""
+    return len(b" ".join(words).decode(errors="replace")) - max(len(words) - 1, 0)
+
+
 def judged(
     texts: list[bytes], field: crf.Field | None, content_share: float
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -201,7 +207,7 @@ def judged(
         words = raw.split()
         n, f, s, repeated = lines_of(raw)
         counts.append((
-            len(words), len(b"".join(words).decode()), len(raw) - len(raw.translate(None, SYMBOLS)),
+            len(words), points_of(words), len(raw) - len(raw.translate(None, SYMBOLS)),
             repeated, repeated_words(words), len(n),
         ))
         numbers += n

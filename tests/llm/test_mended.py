@@ -9,7 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from shelfmark.llm import classifier, mixing, quality, simhash
+from shelfmark.llm import classifier, mixing, packing, quality, simhash
 from tests.llm.conftest import SF
 
 
@@ -166,3 +166,14 @@ def test_held_out_documents_are_predicted(spark, labelled):
 def test_small_tables_run(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert mixing.choose(docs, weights={"domain": {"d0": 0.5}}).count() == docs.count()
+
+
+def test_bytes_that_are_no_text(spark):
+    rows = spark.sql("select 1L as doc_id, cast(x'ff20c320bcc3bc20616263c3' as string) as text")
+    found = quality.judge(rows, None).collect()[0]
+    assert (found.n_words, found.word_chars) == (4, 1 + 1 + 2 + 4)
+    want = b"\xff \xc3 \xbc\xc3\xbc abc\xc3".decode(errors="replace")
+    as_text = spark.createDataFrame([(1, want)], "doc_id long, text string")
+    columns = ("start", "length", "ids_crc32", "doc_tokens")
+    packed, same = (packing.pack_documents(x).select(*columns).collect() for x in (rows, as_text))
+    assert sorted(packed) == sorted(same)
