@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -199,6 +200,36 @@ def order_side(orders: DataFrame, customers: DataFrame, regions: DataFrame) -> D
     )
 
 
+#: Combinations of attributes up to which rows carry a number in their place.
+FEW_KINDS = 50_000
+
+ORDER_KIND = [
+    "ship_mode", "payment_method", "order_priority", "customer_loyalty_status",
+    "region_id", "region_country", "region_name", "region_manager",
+]
+PRODUCT_KIND = ["product_category", "product_subcategory", "product_supplier"]
+
+
+def numbered_kinds(
+    df: DataFrame, columns: list[str], number: str, most: int = FEW_KINDS
+) -> tuple[DataFrame, DataFrame | None]:
+    """``df`` with ``number`` in place of ``columns``, and their values for each number.
+
+    Texts with few combinations need not shuffle with every row. ``df`` as it is, and
+    None, if there are more than ``most`` combinations. NULL is a value like others.
+    """
+    kinds = settle(
+        df.select(*columns).distinct().limit(most + 1)
+        .withColumn(number, F.monotonically_increasing_id()), number,
+    )
+    if kinds.count() > most:
+        return df, None
+    same = reduce(lambda a, b: a & b, (df[c].eqNullSafe(kinds[c]) for c in columns))
+    others = [df[c] for c in df.columns if c not in columns]
+    # at most ``most`` rows
+    return df.join(F.broadcast(kinds), same).select(*others, number), kinds
+
+
 def build_fact_sales(
     lines: DataFrame,
     orders: DataFrame,
@@ -210,6 +241,7 @@ def build_fact_sales(
     high_value: float = HIGH_VALUE,
     bulk_quantity: int = BULK_QUANTITY,
     exact_shipping: bool = False,
+    by_year: bool = False,
 ) -> DataFrame:
     """One row per order line whose order, customer, region and product exist.
 
@@ -217,9 +249,12 @@ def build_fact_sales(
     and its product, for sources that do not carry it. Orders that carry an
     ``order_total`` keep it; for others the lines are summed here. Each line's shipping is
     its share of the order's, rounded; with ``exact_shipping`` the shares of an order's
-    lines in the fact add up to it (``allocate_exactly``).
+    lines in the fact add up to it (``allocate_exactly``). ``by_year`` is for a fact that is
+    then written by order year: the rows are rebalanced by it before they get what follows
+    from their other columns, with a number for each combination of their classes, so that
+    they shuffle narrow. Writers need not rebalance them again.
 
-    No side is forced to broadcast: small dimensions are, by Spark's size
+    The products come first, as their columns are narrower than the orders'. No side is forced to broadcast: small dimensions are, by Spark's size
     threshold, and large ones shuffle. The order side is settled first, so each
     remaining join has two plain shuffled inputs, and adaptive execution can
     split the partition of an order, customer or product that holds a large part
@@ -238,25 +273,42 @@ def build_fact_sales(
         F.col("subcategory").alias("product_subcategory"),
         F.col("supplier").alias("product_supplier"),
     )
-    money = {} if profit is None else {"profit": profit.cast(MONEY)}
+    kinds = []
+    if by_year:
+        side, of_orders = numbered_kinds(side, ORDER_KIND, "order_kind")
+        goods, of_products = numbered_kinds(goods, PRODUCT_KIND, "product_kind")
+        kinds = [(of_orders, "order_kind"), (of_products, "product_kind")]
+    priced = lines.withColumnRenamed("total_price", "revenue").join(goods, "product_id")
+    if profit is not None:
+        priced = priced.withColumn("profit", profit.cast(MONEY))
+    used = [*LINE_COLUMNS, *goods.columns]
+    joined = priced.select(*dict.fromkeys(used)).join(side, "order_id")
     share = allocate(F.col("shipping_cost"), F.col("revenue"), F.col("order_total"))
-    joined = lines.join(side, "order_id").join(goods, "product_id")
-    joined = joined.withColumnRenamed("total_price", "revenue")
     if exact_shipping:
         joined = allocate_exactly(
             settle(joined, "joined_lines"), "shipping_cost", "revenue", "order_id",
             "order_detail_id", "exact_share",
         )
         share = F.col("exact_share")
+    joined = joined.withColumn("shipping_cost", share).drop("order_total", "exact_share")
+    if by_year:
+        year = order_date_parts()["order_year"]
+        joined = joined.withColumn("order_year", year).hint("rebalance", F.col("order_year"))
+        for found, number in kinds:
+            if found is not None:
+                joined = joined.join(F.broadcast(found), number)
     return (
-        joined.withColumns(
-            {**order_date_parts(), **line_measures(), **money, "shipping_cost": share}
-        )
+        joined.withColumns({**order_date_parts(), **line_measures()})
         .withColumns({"profit_margin": guarded_margin(), **line_flags(high_value, bulk_quantity)})
         .select(*FACT_COLUMNS)
     )
 
 
+LINE_COLUMNS = [
+    "order_detail_id", "order_id", "product_id", "quantity", "discount", "tax_rate",
+    "revenue", "profit",
+]
+
 # The fact's columns, in the warehouse's order.
 FACT_COLUMNS = [
     "order_date", "order_year", "order_quarter", "order_month", "order_month_name",

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.operators.star import build_fact_sales
 from shelfmark.sources.shared import new_table_path
-from shelfmark.sources.tables import write_fact
+from shelfmark.sources.tables import write_table
 
 MONEY = "decimal(10,2)"
 RATE = "decimal(5,2)"
@@ -235,10 +235,10 @@ class Shop:
         fact = build_fact_sales(
             self.unpriced_lines, self.summed_orders, self.buyers, self.products, self.regions,
             profit=self.line_profit("cost_price"),
-            high_value=HIGH_VALUE, bulk_quantity=BULK_QUANTITY,
+            high_value=HIGH_VALUE, bulk_quantity=BULK_QUANTITY, by_year=True,
         )
         path = new_table_path(self.spark, "fact_sales")
-        write_fact(fact, path)
+        write_table(fact, path, "order_year")
         return self.spark.read.schema(fact.schema).parquet(path)
 
 
