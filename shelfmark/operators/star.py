@@ -112,27 +112,33 @@ def allocate_exactly(
             F.count("*").alias("order_lines"),
         ), "order_sizes",
     )
-    rest = F.when(whole > 0, F.pmod(product, whole.cast("decimal(38,0)")))
+    rest = F.when(whole > 0, F.pmod(product, whole.cast("decimal(38,0)")).cast("decimal(18,0)"))
     base = lines.join(sized, order).withColumn("rest", rest).withColumn(
         "low", F.when(whole > 0, ((product - F.col("rest")) / whole).cast("decimal(18,0)"))
     )
     by = [F.col("rest").desc(), F.col(line).asc(), F.col(part).desc()]
     is_large = F.col("order_lines") > lines_in_a_task
-    place = F.row_number().over(Window.partitionBy(order).orderBy(*by))
-    placed = base.filter(~is_large).withColumn("place", place.cast("bigint"))
+    # one window, and so one sort, for both
+    window = Window.partitionBy(order).orderBy(*by)
+    whole_order = window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    placed = base.filter(~is_large).withColumns({
+        "place": F.row_number().over(window).cast("bigint"),
+        "given": F.sum("low").over(whole_order),
+    })
     if not sized.filter(is_large).isEmpty():
         large = row_numbers(
             base.filter(is_large), [F.col(order).asc(), *by], "place", "all_rows"
         ).drop("all_rows")
         large = settle(large, "large_orders")
-        first = large.groupBy(order).agg(F.min("place").alias("first_place"))
+        first = large.groupBy(order).agg(
+            F.min("place").alias("first_place"), F.sum("low").alias("given")
+        )
         # a row for each order of more than ``lines_in_a_task`` lines
         large = large.join(first, order).withColumn("place", F.col("place") - F.col("first_place") + 1)
         placed = placed.unionByName(large.drop("first_place"))
-    given = base.groupBy(order).agg(F.sum("low").alias("given"))
     left = cents[amount] - F.col("given")
     share = (F.col("low") + (F.col("place") <= left).cast("int")) / 100
-    return placed.join(given, order).withColumn(name, share.cast(MONEY)).select(*lines.columns, name)
+    return placed.withColumn(name, share.cast(MONEY)).select(*lines.columns, name)
 
 
 def line_measures() -> dict[str, Column]:

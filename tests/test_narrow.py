@@ -53,3 +53,21 @@ def test_kinds_are_numbered_once_also_null(spark):
     same, none = star.numbered_kinds(df, ["p", "q"], "kind", 5)
     assert none is None and same.columns == df.columns
     assert same.agg(F.count("*")).first()[0] == 60
+
+
+def test_exact_shares_shuffle_the_lines_once(spark):
+    """Sizes and lines meet once; what is given away is summed in the window that ranks."""
+    df = spark.range(500).selectExpr(
+        "id div 5 as o", "id as l", "cast(100.01 as decimal(10,2)) as amount",
+        "cast(id % 7 as decimal(10,2)) as part",
+    )
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, -1)
+    try:
+        found = star.allocate_exactly(df, "amount", "part", "o", "l", "share")
+        plan = plan_of(found)
+    finally:
+        spark.conf.set(threshold, before)
+    assert plan.count("SortMergeJoin") == 1 and len(re.findall(r"\bWindow \[", plan)) == 1
+    assert found.groupBy("o").agg(F.sum("share").alias("s")).filter("s <> 100.01").count() == 0
