@@ -169,9 +169,11 @@ class Tables:
     def bucketed(self) -> DataFrame:
         """The fact's revenue with the products' columns, both in buckets of the product."""
         sold = self.shop.fact.select("product_id", "revenue")
-        lines = buckets.write_bucketed(sold, "product_id", 8, "sold")
+        number = buckets.enough_buckets(sold)
+        lines = buckets.write_bucketed(sold, "product_id", number, "sold")
         goods = self.shop.products.select("product_id", "category", "supplier")
-        return lines.join(self.spark, buckets.write_dimension(goods, "product_id", 8, "goods"))
+        dimension = buckets.write_dimension(goods, "product_id", number, "goods")
+        return lines.join(self.spark, dimension)
 
     def with_added_month(self) -> DataFrame:
         """The fact of the cleaned tables, all but the last month built and that added."""

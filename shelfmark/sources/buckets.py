@@ -17,6 +17,15 @@ from pyspark.sql import functions as F
 from shelfmark.sources.shared import new_table_path, settle
 
 
+#: Rows of a bucket, which one task sorts and joins.
+BUCKET_ROWS = 2_000_000
+
+
+def enough_buckets(df: DataFrame, least: int = 8, rows: int = BUCKET_ROWS) -> int:
+    """Buckets of up to ``rows`` rows on average, so that a task's share does not grow."""
+    return max(least, -(-df.count() // rows))
+
+
 @dataclass(frozen=True)
 class Bucketed:
     """A table in buckets of ``key``; ``hot`` has the rows of its frequent values."""

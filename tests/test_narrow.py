@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.catalog import tables_of
 from shelfmark.operators import star
+from shelfmark.sources import buckets
 from tests.test_physical import SF, plan_of
 
 
@@ -71,3 +72,16 @@ def test_exact_shares_shuffle_the_lines_once(spark):
         spark.conf.set(threshold, before)
     assert plan.count("SortMergeJoin") == 1 and len(re.findall(r"\bWindow \[", plan)) == 1
     assert found.groupBy("o").agg(F.sum("share").alias("s")).filter("s <> 100.01").count() == 0
+
+
+def test_buckets_follow_the_rows(spark):
+    df = spark.range(1000).selectExpr("id % 300 as p", "id as v")
+    number = buckets.enough_buckets(df, least=2, rows=100)
+    assert (number, buckets.enough_buckets(df)) == (10, 8)
+    kept = buckets.write_bucketed(df, "p", number, "sold")
+    dimension = buckets.write_dimension(df.select("p").distinct(), "p", number, "goods")
+    assert f"Num Buckets|{number}" in "\n".join(
+        f"{r.col_name}|{r.data_type}" for r in spark.sql(f"describe formatted {kept.cool}").collect()
+    )
+    assert rows(kept.join(spark, dimension)) == rows(df)
+    buckets.drop(spark, kept.cool, dimension)
