@@ -81,9 +81,9 @@ def build_warehouse(
     build.write("cleaning_report", report)
     fact = build_fact_sales(
         clean["order_details"], clean["orders"], clean["customers"], clean["products"],
-        clean["regions"], high_value=high_value, bulk_quantity=bulk_quantity,
+        clean["regions"], high_value=high_value, bulk_quantity=bulk_quantity, by_year=True,
     )
-    build.write("fact_sales", fact, cut_by="order_year")
+    build.write("fact_sales", fact, cut_by="order_year", balanced=True)
     sold = build.read("fact_sales").agg(
         F.coalesce(F.lit(first_day), F.min("order_date")).alias("first_day"),
         F.coalesce(F.lit(last_day), F.max("order_date")).alias("last_day"),

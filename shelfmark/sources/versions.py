@@ -126,9 +126,12 @@ class Build:
     def read(self, name: str) -> DataFrame:
         return read(self.spark, self.target, name, self.tables[name])
 
-    def write(self, name: str, df: DataFrame, cut_by: str | None = None) -> None:
-        """The whole table anew."""
-        self.tables[name] = Table(df.schema.json(), self._written(name, df, cut_by), cut_by)
+    def write(
+        self, name: str, df: DataFrame, cut_by: str | None = None, balanced: bool = False
+    ) -> None:
+        """The whole table anew; ``balanced`` if ``df`` is rebalanced by ``cut_by`` already."""
+        folders = self._written(name, df, cut_by, balanced)
+        self.tables[name] = Table(df.schema.json(), folders, cut_by)
 
     def append(self, name: str, df: DataFrame) -> None:
         """More rows for a table; the folders it has stay."""
@@ -143,7 +146,9 @@ class Build:
         folders = (*kept, *self._written(name, df, table.cut_by))
         self.tables[name] = Table(table.schema, folders, table.cut_by)
 
-    def _written(self, name: str, df: DataFrame, cut_by: str | None) -> tuple[str, ...]:
+    def _written(
+        self, name: str, df: DataFrame, cut_by: str | None, balanced: bool = False
+    ) -> tuple[str, ...]:
         """Write ``df`` and give its folders.
 
         A cut table is rebalanced by its column: adaptive execution splits a large value
@@ -153,7 +158,8 @@ class Build:
         if cut_by is None:
             df.write.parquet(f"{self.target}/{name}/{BUILD}={self.id}")
             return (f"{name}/{BUILD}={self.id}",)
-        own = df.hint("rebalance", F.col(cut_by)).withColumn(BUILD, F.lit(self.id))
+        dealt = df if balanced else df.hint("rebalance", F.col(cut_by))
+        own = dealt.withColumn(BUILD, F.lit(self.id))
         own.write.mode("append").partitionBy(cut_by, BUILD).parquet(f"{self.target}/{name}")
         return tuple(self.store.list(f"{name}/{cut_by}=*/{BUILD}={self.id}"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.catalog import tables_of
 from shelfmark.operators import star
-from shelfmark.sources import buckets
+from shelfmark.sources import buckets, versions
 from tests.test_physical import SF, plan_of
 
 
@@ -85,3 +85,30 @@ def test_buckets_follow_the_rows(spark):
     )
     assert rows(kept.join(spark, dimension)) == rows(df)
     buckets.drop(spark, kept.cool, dimension)
+
+
+def test_a_balanced_table_is_not_rebalanced_again(spark, tmp_path):
+    """Cut from 64 tasks without a rebalance, a value has a file of each."""
+    rows_ = spark.range(0, 6400, 1, 64).withColumn("y", F.col("id") % 2)
+    build = versions.Build(spark, str(tmp_path))
+    build.write("dealt", rows_.repartition(2, "y"), cut_by="y", balanced=True)
+    build.write("raw", rows_, cut_by="y", balanced=True)
+    build.write("even", rows_, cut_by="y")
+    files = {n: len(list(tmp_path.glob(f"{n}/y=0/*/*.parquet"))) for n in ("dealt", "raw", "even")}
+    assert files["dealt"] == 1 and files["raw"] == 64 and files["even"] < 64
+    assert rows(build.read("dealt")) == rows(build.read("even")) == rows(rows_)
+
+
+def test_lines_of_a_month_are_found_without_a_shuffle(spark, monkeypatch):
+    plans = []
+    real = versions.Build.write
+
+    def write(self, name, df, *args, **options):
+        if name == "order_details":
+            plans.append(plan_of(df))
+        return real(self, name, df, *args, **options)
+
+    monkeypatch.setattr(versions.Build, "write", write)
+    tables_of(spark, SF).with_added_month()
+    assert "BroadcastHashJoin" in plans[0] and "LeftAnti" in plans[0]
+    assert "late_orders" in plans[0]
