@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import dates
 from shelfmark.operators.ranking import row_numbers
-from shelfmark.sources.shared import settle
+from shelfmark.sources.shared import SMALLEST, settle
 
 MONEY = "decimal(10,2)"
 MARGIN = "decimal(18,4)"
@@ -214,6 +214,7 @@ ORDER_KIND = [
     "region_id", "region_country", "region_name", "region_manager",
 ]
 PRODUCT_KIND = ["product_category", "product_subcategory", "product_supplier"]
+LINE_KIND = ["quantity", "discount", "tax_rate"]
 
 
 def numbered_kinds(
@@ -222,8 +223,11 @@ def numbered_kinds(
     """``df`` with ``number`` in place of ``columns``, and their values for each number.
 
     Texts with few combinations need not shuffle with every row. ``df`` as it is, and
-    None, if there are more than ``most`` combinations. NULL is a value like others.
+    None, if there are more than ``most`` combinations. NULL is a value like others. An
+    estimate comes first, so that far too many are not shuffled only to be refused.
     """
+    if df.agg(F.approx_count_distinct(F.struct(*columns))).first()[0] > 2 * most:
+        return df, None
     kinds = settle(
         df.select(*columns).distinct().limit(most + 1)
         .withColumn(number, F.monotonically_increasing_id()), number,
@@ -244,6 +248,7 @@ def build_fact_sales(
     regions: DataFrame,
     *,
     profit: Column | None = None,
+    late: dict[str, Column] | None = None,
     high_value: float = HIGH_VALUE,
     bulk_quantity: int = BULK_QUANTITY,
     exact_shipping: bool = False,
@@ -252,15 +257,17 @@ def build_fact_sales(
     """One row per order line whose order, customer, region and product exist.
 
     ``profit`` replaces the lines' own column by an expression over the line
-    and its product, for sources that do not carry it. Orders that carry an
-    ``order_total`` keep it; for others the lines are summed here. Each line's shipping is
+    and its product, for sources that do not carry it; ``late`` does so for any of the lines'
+    columns. Such columns are derived after the last shuffle, from what the lines carry in their
+    place. Orders that carry an ``order_total`` keep it; for others the lines are summed here. Each line's shipping is
     its share of the order's, rounded; with ``exact_shipping`` the shares of an order's
     lines in the fact add up to it (``allocate_exactly``). ``by_year`` is for a fact that is
     then written by order year: the rows are rebalanced by it before they get what follows
     from their other columns, with a number for each combination of their classes, so that
     they shuffle narrow. Writers need not rebalance them again.
 
-    The products come first, as their columns are narrower than the orders'. No side is forced to broadcast: small dimensions are, by Spark's size
+    The products come first, as their columns are narrower than the orders'. No side is forced
+    to broadcast: small dimensions are, by Spark's size
     threshold, and large ones shuffle. The order side is settled first, so each
     remaining join has two plain shuffled inputs, and adaptive execution can
     split the partition of an order, customer or product that holds a large part
@@ -270,7 +277,7 @@ def build_fact_sales(
     """
     if "order_total" not in orders.columns:
         orders = orders.join(order_totals(lines), "order_id")
-    side = settle(order_side(orders, customers, regions), "order_side")
+    side = settle(order_side(orders, customers, regions), "order_side", SMALLEST)
     goods = products.select(
         "product_id",
         F.col("unit_price").cast(MONEY).alias("unit_price"),
@@ -279,30 +286,34 @@ def build_fact_sales(
         F.col("subcategory").alias("product_subcategory"),
         F.col("supplier").alias("product_supplier"),
     )
+    late = dict(late or {})
+    if profit is not None:
+        late["profit"] = profit.cast(MONEY)
+    lines = lines.withColumnRenamed("total_price", "revenue")
+    lines = lines.select(*(c for c in (lines.columns if late else LINE_COLUMNS) if c not in late))
     kinds = []
     if by_year:
         side, of_orders = numbered_kinds(side, ORDER_KIND, "order_kind")
         goods, of_products = numbered_kinds(goods, PRODUCT_KIND, "product_kind")
         kinds = [(of_orders, "order_kind"), (of_products, "product_kind")]
-    priced = lines.withColumnRenamed("total_price", "revenue").join(goods, "product_id")
-    if profit is not None:
-        priced = priced.withColumn("profit", profit.cast(MONEY))
-    used = [*LINE_COLUMNS, *goods.columns]
-    joined = priced.select(*dict.fromkeys(used)).join(side, "order_id")
+        if not exact_shipping:
+            lines, of_lines = numbered_kinds(lines, LINE_KIND, "line_kind")
+            kinds.append((of_lines, "line_kind"))
+    joined = lines.join(goods, "product_id").join(side, "order_id")
     share = allocate(F.col("shipping_cost"), F.col("revenue"), F.col("order_total"))
     if exact_shipping:
         joined = allocate_exactly(
-            settle(joined, "joined_lines"), "shipping_cost", "revenue", "order_id",
-            "order_detail_id", "exact_share",
+            settle(joined.withColumns(late), "joined_lines"), "shipping_cost", "revenue",
+            "order_id", "order_detail_id", "exact_share",
         )
-        share = F.col("exact_share")
-    joined = joined.withColumn("shipping_cost", share).drop("order_total", "exact_share")
+        late, share = {}, F.col("exact_share")
     if by_year:
         year = order_date_parts()["order_year"]
         joined = joined.withColumn("order_year", year).hint("rebalance", F.col("order_year"))
         for found, number in kinds:
             if found is not None:
                 joined = joined.join(F.broadcast(found), number)
+    joined = joined.withColumns(late).withColumn("shipping_cost", share)
     return (
         joined.withColumns({**order_date_parts(), **line_measures()})
         .withColumns({"profit_margin": guarded_margin(), **line_flags(high_value, bulk_quantity)})

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.operators.star import build_fact_sales
-from shelfmark.sources.shared import new_table_path
+from shelfmark.sources.shared import SMALLEST, new_table_path
 from shelfmark.sources.tables import write_table
 
 MONEY = "decimal(10,2)"
@@ -189,12 +189,38 @@ class Shop:
         return self.placed_orders.join(homes, "customer_id", "left")
 
     @staticmethod
-    def _net() -> Amounts:
+    def _amounts(price: Column, rebate: Column, tax: Column) -> Amounts:
         one = F.lit(1).cast(RATE)
-        rebate, tax = F.col("l_discount").cast(RATE), F.col("l_tax").cast(RATE)
-        net = F.col("l_extendedprice").cast(MONEY) * (one - rebate)
+        net = price * (one - rebate)
         return Amounts(rebate, tax, net.cast(MONEY), (net * (one + tax)).cast(MONEY))
 
+    @classmethod
+    def _net(cls) -> Amounts:
+        rates = (F.col(c).cast(RATE) for c in ("l_discount", "l_tax"))
+        return cls._amounts(F.col("l_extendedprice").cast(MONEY), *rates)
+
+    @property
+    def fact_lines(self) -> tuple[DataFrame, dict[str, Column]]:
+        """The fact's lines with what their amounts and id are derived from, and how.
+
+        List price and line number shuffle in place of three columns of more digits.
+        """
+        lines = self.table("lineitem").select(
+            F.col("l_orderkey").alias("order_id"),
+            F.col("l_partkey").alias("product_id"),
+            F.col("l_linenumber").alias("line_number"),
+            F.col("l_quantity").cast("int").alias("quantity"),
+            F.col("l_discount").cast(RATE).alias("discount"),
+            F.col("l_tax").cast(RATE).alias("tax_rate"),
+            F.col("l_extendedprice").cast(MONEY).alias("list_price"),
+        )
+        amounts = self._amounts(F.col("list_price"), F.col("discount"), F.col("tax_rate"))
+        return lines, {
+            "order_detail_id": F.col("order_id") * 20 + F.col("line_number"),
+            "revenue": amounts.total,
+            "profit": self.line_profit("cost_price", amounts.net),
+        }
+
     @cached_property
     def unpriced_lines(self) -> DataFrame:
         """Order lines with ``net_amount`` in place of the profit."""
@@ -211,9 +237,10 @@ class Shop:
         )
 
     @staticmethod
-    def line_profit(cost_price: str) -> Column:
+    def line_profit(cost_price: str, net_amount: Column | None = None) -> Column:
+        """Net amount, by default the line's own column, less the cost."""
         spent = F.col(cost_price) * F.col("quantity").cast("decimal(10,0)")
-        return (F.col("net_amount") - spent).cast(MONEY)
+        return ((F.col("net_amount") if net_amount is None else net_amount) - spent).cast(MONEY)
 
     @cached_property
     def order_details(self) -> DataFrame:
@@ -232,13 +259,13 @@ class Shop:
         anyway, which saves the join inside ``order_details``; the region comes with
         the customer's other columns.
         """
+        lines, late = self.fact_lines
         fact = build_fact_sales(
-            self.unpriced_lines, self.summed_orders, self.buyers, self.products, self.regions,
-            profit=self.line_profit("cost_price"),
+            lines, self.summed_orders, self.buyers, self.products, self.regions, late=late,
             high_value=HIGH_VALUE, bulk_quantity=BULK_QUANTITY, by_year=True,
         )
         path = new_table_path(self.spark, "fact_sales")
-        write_table(fact, path, "order_year")
+        write_table(fact, path, "order_year", compression=SMALLEST)
         return self.spark.read.schema(fact.schema).parquet(path)
 
 
@@ -350,6 +377,11 @@ class RawShop(Shop):
         """Missing discounts, unknown products, every line of each 50th order twice."""
         return self._spoil_lines(self.clean.unpriced_lines)
 
+    @property
+    def fact_lines(self) -> tuple[DataFrame, dict[str, Column]]:
+        """The unpriced lines: their amounts are those before the discounts went missing."""
+        return self.unpriced_lines, {"profit": self.line_profit("cost_price")}
+
     @cached_property
     def order_details(self) -> DataFrame:
         """As the unpriced lines, with missing profits."""

@@ -104,9 +104,11 @@ def read_parquet(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(struct(schema)).parquet(path)
 
 
-def write_table(df: DataFrame, path: str, *partition_by: str) -> None:
+def write_table(
+    df: DataFrame, path: str, *partition_by: str, compression: str | None = None
+) -> None:
     """Replace the Parquet table at ``path``, if there is one."""
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path, compression=compression)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -7,9 +7,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from shelfmark.catalog import tables_of
+from shelfmark.catalog import Tables, tables_of
 from shelfmark.operators import star
-from shelfmark.sources import buckets, versions
+from shelfmark.sources import buckets, shop as shop_tables, versions
 from tests.test_physical import SF, plan_of
 
 
@@ -43,6 +43,59 @@ def test_classes_of_orders_and_products_do_not_shuffle_by_year(spark):
     assert plan.count("REBALANCE_PARTITIONS") == 1
 
 
+def test_lines_shuffle_without_what_is_derived_from_them(spark, monkeypatch):
+    """The shop's fact: list price and line number until all rows have met, small numbers once."""
+    built = []
+    monkeypatch.setattr(shop_tables, "write_table", lambda df, *_, **__: built.append(df))
+    tables = Tables(spark, SF)
+    monkeypatch.setattr(type(spark.read), "parquet", _not_written(type(spark.read).parquet))
+    fact = tables.shop.fact
+    monkeypatch.undo()
+    assert fact is None
+    logical = built[0]._jdf.queryExecution().optimizedPlan().toString()
+    below = logical[logical.index("RebalancePartitions") :].splitlines()[1]
+    late = ["revenue", "profit", "order_detail_id", *star.LINE_KIND]
+    assert not [c for c in late if re.search(rf"\b{c}#", below)]
+    sides = (tables.shop.orders, tables.shop.customers, tables.shop.products, tables.shop.regions)
+    plain = star.build_fact_sales(
+        tables.shop.order_details, *sides,
+        high_value=shop_tables.HIGH_VALUE, bulk_quantity=shop_tables.BULK_QUANTITY,
+    )
+    assert built[0].dtypes == plain.dtypes and rows(built[0]) == rows(plain)
+
+
+def _not_written(real):
+    """Spark's reader of Parquet, but None for a fact that a test kept from being written."""
+    return lambda self, *paths: None if "fact_sales" in paths[0] else real(self, *paths)
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_late_columns_of_any_build(spark, exact):
+    """Plain or by year, with rounded or exact shares."""
+    shop = tables_of(spark, SF).shop
+    sides = (shop.summed_orders, shop.buyers, shop.products, shop.regions)
+    lines, late = shop.fact_lines
+    found = [
+        star.build_fact_sales(lines, *sides, late=late, exact_shipping=exact, by_year=by_year)
+        for by_year in (False, True)
+    ]
+    plain = star.build_fact_sales(shop.order_details, *sides, exact_shipping=exact)
+    assert rows(found[0]) == rows(found[1]) == rows(plain)
+
+
+def test_the_raw_fact_keeps_amounts_of_lines_without_discount(spark):
+    raw = tables_of(spark, SF).raw
+    lost = raw.fact.filter("discount is null").select("order_id", "product_id", "revenue")
+    assert lost.count() > 0 and lost.filter("revenue is null").count() == 0
+
+
+def test_far_too_many_kinds_are_not_shuffled_to_be_refused(spark, monkeypatch):
+    monkeypatch.setattr(star, "settle", lambda *_: pytest.fail("written"))
+    df = spark.range(500).selectExpr("id", "id as p")
+    same, none = star.numbered_kinds(df, ["p"], "kind", 100)
+    assert none is None and same.columns == ["id", "p"]
+
+
 def test_kinds_are_numbered_once_also_null(spark):
     df = spark.createDataFrame(
         [(i, ["a", None][i % 2], ["x", "y", None][i % 3]) for i in range(60)],
